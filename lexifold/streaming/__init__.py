@@ -1,0 +1,5 @@
+"""No streaming operators: every operator of this library is a batch job.
+
+The column functions of :mod:`lexifold.functions` are stateless, so they can be
+used on a streaming DataFrame as they are.
+"""
