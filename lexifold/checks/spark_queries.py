@@ -219,8 +219,9 @@ def cluster_paths_file(spark: SparkSession, sf: str) -> DataFrame:
 
 def _brown(spark: SparkSession, sf: str, **choice: object) -> DataFrame:
     inst = _saved_instances(spark, sf)
-    clustered = _cluster_paths(terms.vocabulary(inst))
-    fitted = featurize.fit_features(inst, featurize.FeatureChoice(model="brown", **choice), clustered)
+    words = materialise(terms.vocabulary(inst), "vocabulary")
+    choice = featurize.FeatureChoice(model="brown", **choice)
+    fitted = featurize.fit_features(inst, choice, _cluster_paths(words), words)
     return _rounded(fitted.transform(inst), "value")
 
 
@@ -272,7 +273,7 @@ def subsampled_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     lists = materialise(docvectors.training_terms(_tokens(spark, sf)), "token_lists")
-    model = docvectors.fit_word_vectors(lists, layer_size=16, epochs=1, docs_per_partition=1000)
+    model = docvectors.fit_word_vectors(lists, layer_size=16, epochs=1, docs_per_partition=100)
     return docvectors.document_vectors(model, lists)
 
 
@@ -496,7 +497,7 @@ def tune_random(spark: SparkSession, sf: str) -> DataFrame:
         tuning.random_trials(2, seed=7, ranges=ranges),
         k=2,
         settings=replace(QUICK, c=1000.0),
-        docs_per_partition=1000,
+        docs_per_partition=100,
         seed=7,
     )
 

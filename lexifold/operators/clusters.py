@@ -25,12 +25,15 @@ def cluster_bridge(
     left out, and so are those that another path of the same word already has.
     As the paths of a word are ordered, those are the ones shared with the path
     before. With ``leaf_only`` the whole path is the only feature.
+
+    Lines are made distinct before they meet in a task, so a word has at most as
+    many rows as there are clusters, however often the file repeats it.
     """
-    known = paths.select(F.col("word").alias("token"), "path").join(vocab.select("token", "df"), "token")
+    listed = paths.select(F.col("word").alias("token"), "path").distinct()
+    known = listed.join(vocab.select("token", "df"), "token")
     previous = F.lag("path").over(Window.partitionBy("token").orderBy("path"))
     bridge = known.withColumn("previous", previous)
     if leaf_only:
-        bridge = bridge.filter(F.col("previous").isNull() | (F.col("previous") != F.col("path")))
         bridge = bridge.withColumn("skip", F.length("path") - 1)
     else:
         shared = T.common_prefix_length(F.col("previous"), F.col("path"))
@@ -47,16 +50,22 @@ def bridge_prefixes(bridge: DataFrame) -> DataFrame:
 
 
 def cluster_counts(
-    inst: DataFrame, bridge: DataFrame, keep: tuple[str, ...] = ("doc_id",), bound: BroadcastBound = DEFAULT_BOUND
+    inst: DataFrame,
+    bridge: DataFrame,
+    keep: tuple[str, ...] = ("doc_id",),
+    bucketed: bool = False,
+    bound: BroadcastBound = DEFAULT_BOUND,
 ) -> DataFrame:
     """Cluster features with counts: the sum over the words below the cluster.
 
     The compact instances are distributed by document first. Counting by leaf
     and then by prefix needs no further shuffle, and the prefixes, which are
-    many more bytes than the instances, are never moved.
+    many more bytes than the instances, are never moved. ``bucketed`` says that
+    the instances come from a table bucketed by document, so that nothing at all
+    has to be moved.
     """
-    key = keep[0]
-    terms = explode_terms(inst.select(*keep, "terms").repartition(key), keep)
+    rows = inst.select(*keep, "terms")
+    terms = explode_terms(rows if bucketed else rows.repartition(keep[0]), keep)
     leaves = (
         lookup(terms, bridge, ["token"], "df", bound=bound)
         .groupBy(*keep, "path", "skip")

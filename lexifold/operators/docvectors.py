@@ -90,15 +90,15 @@ def fit_word_vectors(
     learning_rate: float = 0.025,
     min_word_frequency: int = 1,
     seed: int = 1234,
-    max_words: int = 5_000_000,
+    max_weights: int = 500_000_000,
     docs_per_partition: int = 100_000,
 ) -> Word2VecModel:
     """Train word vectors on all token lists.
 
-    Spark keeps two vectors per word on the driver, so the number of words is
-    counted first and the job stops if there are more than ``max_words``; raise
-    ``min_word_frequency`` then. The documents are spread over
-    ``n / docs_per_partition`` training partitions.
+    Spark keeps two vectors per word on the driver, so the words are counted
+    first. The job stops if words times ``layer_size`` exceed ``max_weights``;
+    raise ``min_word_frequency`` then. The documents are spread over
+    ``n / docs_per_partition`` training partitions, one per core at most.
     """
     frequent = (
         token_lists.select(F.explode_outer("tokens").alias("token"))
@@ -108,9 +108,10 @@ def fit_word_vectors(
         .filter(F.col("n") >= min_word_frequency)
     )
     n_words = frequent.count()
-    if n_words > max_words:
+    if n_words * layer_size > max_weights:
         raise ValueError(f"{n_words} words are too many for one model; raise min_word_frequency")
-    partitions = max(1, math.ceil(token_lists.count() / docs_per_partition))
+    cores = token_lists.sparkSession.sparkContext.defaultParallelism
+    partitions = min(cores, max(1, math.ceil(token_lists.count() / docs_per_partition)))
     return Word2Vec(
         inputCol="tokens",
         outputCol="vec",

@@ -40,18 +40,6 @@ def _row_bytes(df: DataFrame) -> Column:
     return size
 
 
-def size_of(df: DataFrame) -> tuple[int, int]:
-    """Rows and estimated bytes of a materialised table."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("b")).first()
-    return row["n"], row["b"] or 0
-
-
-def fits(df: DataFrame, bound: BroadcastBound = DEFAULT_BOUND) -> bool:
-    """Whether a materialised table stays within the bound."""
-    rows, size = size_of(df)
-    return rows <= bound.rows and size <= bound.bytes
-
-
 def _cut(dim: DataFrame, weight: str, bound: BroadcastBound) -> int:
     """Lowest frequency band of the broadcast part; at most 64 rows are fetched."""
     bands = (

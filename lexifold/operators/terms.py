@@ -68,8 +68,8 @@ def bow_binary(inst: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
 
 
 def union_once(train: DataFrame, test: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All documents of both sets, each once."""
-    return train.unionByName(test).dropDuplicates([key])
+    """All documents of both sets, each once: a test document that is also in train is left out."""
+    return train.unionByName(test.join(train.select(key), key, "left_anti"))
 
 
 def corpus_stats(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -31,7 +31,11 @@ def fit_idf(counts: DataFrame, docs: DataFrame, within: str | None = None, path:
     apart; it becomes part of the key.
     """
     keys = [within, "feature"] if within else ["feature"]
-    df = document_frequency(counts, keys)
+    return idf_table(document_frequency(counts, keys), docs, within, path)
+
+
+def idf_table(df: DataFrame, docs: DataFrame, within: str | None = None, path: str | None = None) -> DataFrame:
+    """The same from document frequencies that are already known."""
     total = _part_size(docs, within) if within else docs.agg(F.count(F.lit(1))).scalar()
     return materialise(df.withColumn("idf", T.inverse_weight(total, F.col("df"))), "idf", path)
 

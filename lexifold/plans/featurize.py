@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from lexifold.operators.clusters import cluster_bridge, cluster_counts
 from lexifold.operators.docvectors import attach_vectors, vector_features
 from lexifold.operators.terms import bow_binary, bow_counts, vocabulary
-from lexifold.operators.weights import fit_idf, weighted
+from lexifold.operators.weights import fit_idf, idf_table, weighted
 from lexifold.session import materialise
 
 
@@ -53,6 +53,15 @@ class FittedFeatures:
         named = {"bridge": self.bridge, "cluster_idf": self.cluster_idf, "word_idf": self.word_idf}
         return {name: table for name, table in named.items() if table is not None}
 
+    def refit_idf(self, inst: DataFrame) -> FittedFeatures:
+        """The same features with document frequencies of other documents."""
+        fitted = replace(self)
+        if self.cluster_idf is not None:
+            fitted.cluster_idf = fit_idf(cluster_counts(inst, self.bridge), inst)
+        if self.word_idf is not None:
+            fitted.word_idf = fit_idf(bow_counts(inst), inst)
+        return fitted
+
     def transform(self, inst: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
         """Features ``(doc_id, family, feature, value)`` of the given documents."""
         choice = self.choice
@@ -76,22 +85,26 @@ class FittedFeatures:
         return features
 
 
-def fit_features(inst: DataFrame, choice: FeatureChoice, paths: DataFrame | None = None) -> FittedFeatures:
+def fit_features(
+    inst: DataFrame, choice: FeatureChoice, paths: DataFrame | None = None, words: DataFrame | None = None
+) -> FittedFeatures:
     """Learn vocabulary, clusters in use and idf from ``inst``.
 
     Instances are read several times; give a saved stage rather than a plan that
-    starts from raw text.
+    starts from raw text. ``words`` is their vocabulary, if it is already written.
     """
     fitted = FittedFeatures(choice)
+    weigh_words = choice.plus_bow and (choice.model == "word2vec" or (choice.model == "brown" and choice.tfidf))
+    if words is None and (choice.model == "brown" or weigh_words):
+        words = materialise(vocabulary(inst), "vocabulary")
     if choice.model == "brown":
         if paths is None:
             raise ValueError("cluster paths are missing")
-        words = materialise(vocabulary(inst), "vocabulary")
         fitted.bridge = cluster_bridge(paths, words, choice.cutoff, choice.only_clusters)
         if choice.tfidf:
             fitted.cluster_idf = fit_idf(cluster_counts(inst, fitted.bridge), inst)
-    if choice.plus_bow and (choice.model == "word2vec" or (choice.model == "brown" and choice.tfidf)):
-        fitted.word_idf = fit_idf(bow_counts(inst), inst)
+    if weigh_words:
+        fitted.word_idf = idf_table(words.select(words["token"].alias("feature"), "df"), inst)
     return fitted
 
 

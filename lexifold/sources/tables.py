@@ -30,6 +30,16 @@ def save_stage(df: DataFrame, path: str) -> DataFrame:
     return materialise(df, "stage", path)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
+    """Write a stage as a table bucketed by document and return it.
+
+    Grouping by document and joining two such tables of as many buckets then
+    needs no shuffle.
+    """
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def load_stage(spark: SparkSession, path: str) -> DataFrame:
     """Read a saved stage."""
     return spark.read.parquet(path)

@@ -1,0 +1,270 @@
+"""Features against brute force in Python, and the cases where rules differ."""
+
+import math
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from lexifold.functions.vectors import vector_pairs
+from lexifold.operators import assemble, clusters, docvectors, terms, weights
+from lexifold.operators.lookup import BroadcastBound
+from lexifold.plans.featurize import FeatureChoice, fit_features
+from lexifold.session import materialise
+
+DOCS = {
+    1: "the cat the cat the dog",
+    2: "a dog times the",
+    3: "",
+    4: "the bird sings the dog barks",
+    5: "bird bird bird unknown the",
+}
+PATHS = [
+    ("000", "cat"),
+    ("0010", "dog"),
+    ("0011", "dog"),
+    ("0011", "dog"),
+    ("01", "bird"),
+    ("1", "the"),
+    ("110", "sings"),
+    ("111", "absent"),
+]
+
+
+@pytest.fixture(scope="module")
+def inst(spark):
+    docs = spark.createDataFrame(list(DOCS.items()), "doc_id bigint, text string")
+    return materialise(terms.instances(terms.tokenize(docs)), "instances")
+
+
+@pytest.fixture(scope="module")
+def paths(spark):
+    return spark.createDataFrame(PATHS, "path string, word string")
+
+
+def counts_of(doc):
+    return Counter(DOCS[doc].split())
+
+
+def word_features(cutoff=0, leaf_only=False):
+    known = {w for d in DOCS for w in counts_of(d)}
+    features = defaultdict(set)
+    for path, word in PATHS:
+        if word in known:
+            lengths = [len(path)] if leaf_only else range(cutoff + 1, len(path) + 1)
+            features[word].update(path[:i] for i in lengths)
+    return features
+
+
+def brown(cutoff=0, leaf_only=False):
+    features = word_features(cutoff, leaf_only)
+    found = {}
+    for doc in DOCS:
+        totals = Counter()
+        for word, n in counts_of(doc).items():
+            for prefix in features.get(word, ()):
+                totals[prefix] += n
+        found[doc] = dict(totals)
+    return found
+
+
+def tfidf(counts):
+    df = Counter(f for doc in counts.values() for f in doc)
+    n = len(counts)
+    return {
+        doc: {f: (1 + math.log10(v)) * math.log10(n / df[f]) for f, v in found.items()} for doc, found in counts.items()
+    }
+
+
+def bow():
+    return {doc: dict(counts_of(doc)) for doc in DOCS}
+
+
+def collected(features, family):
+    found = {doc: {} for doc in DOCS}
+    for r in features.filter(F.col("family") == family).collect():
+        assert r["feature"] not in found[r["doc_id"]]
+        found[r["doc_id"]][r["feature"]] = r["value"]
+    return found
+
+
+def assert_same(found, expected):
+    assert {d: set(f) for d, f in found.items()} == {d: set(f) for d, f in expected.items()}
+    for doc, features in expected.items():
+        for feature, value in features.items():
+            assert found[doc][feature] == pytest.approx(value, abs=1e-12)
+
+
+def test_bag_of_words(inst):
+    assert_same(collected(terms.bow_counts(inst), "bow"), bow())
+    ones = {d: {w: 1 for w in f} for d, f in bow().items()}
+    assert_same(collected(terms.bow_binary(inst), "bow"), ones)
+
+
+def test_word_in_every_document_keeps_a_zero_weight(spark):
+    docs = spark.createDataFrame([(1, "x a"), (2, "x b")], "doc_id bigint, text string")
+    small = terms.instances(terms.tokenize(docs))
+    counts = terms.bow_counts(small)
+    found = weights.weighted(counts, weights.fit_idf(counts, small)).filter("feature = 'x'").collect()
+    assert [r["value"] for r in found] == [0.0, 0.0]
+
+
+def test_documents_without_tokens_count(inst):
+    counts = terms.bow_counts(inst)
+    idf = {r["feature"]: r["idf"] for r in weights.fit_idf(counts, inst).collect()}
+    assert idf["the"] == pytest.approx(math.log10(5 / 4))
+
+
+def test_idf_of_other_documents(spark, inst):
+    counts = terms.bow_counts(inst)
+    idf = weights.fit_idf(counts, inst)
+    new = terms.instances(terms.tokenize(spark.createDataFrame([(9, "the new cat cat")], "doc_id bigint, text string")))
+    found = {r["feature"]: r["value"] for r in weights.weighted(terms.bow_counts(new), idf).collect()}
+    assert set(found) == {"the", "cat"}
+    assert found["cat"] == pytest.approx((1 + math.log10(2)) * math.log10(5))
+
+
+def test_running_idf_can_be_negative(spark, inst):
+    new = terms.instances(terms.tokenize(spark.createDataFrame([(9, "the new")], "doc_id bigint, text string")))
+    both = inst.withColumn("part", F.lit("train")).unionByName(new.withColumn("part", F.lit("test")))
+    counts = terms.bow_counts(both, keep=("part", "doc_id"))
+    idf = weights.fit_idf_running(counts, both, "part", ["train", "test"])
+    found = {(r["part"], r["feature"]): r["idf"] for r in idf.collect()}
+    assert found["train", "the"] == pytest.approx(math.log10(5 / 4))
+    assert found["test", "the"] == pytest.approx(math.log10(1 / 5))
+    assert found["test", "new"] == pytest.approx(0.0)
+    apart = {(r["part"], r["feature"]): r["idf"] for r in weights.fit_idf(counts, both, within="part").collect()}
+    assert apart["test", "the"] == 0.0
+
+
+@pytest.mark.parametrize("cutoff,leaf_only", [(0, False), (1, False), (2, False), (3, False), (9, False), (0, True)])
+def test_bridge(inst, paths, cutoff, leaf_only):
+    bridge = clusters.cluster_bridge(paths, materialise(terms.vocabulary(inst), "v"), cutoff, leaf_only)
+    rows = [(r["word"], r["prefix"]) for r in clusters.bridge_prefixes(bridge).collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(w, p) for w, found in word_features(cutoff, leaf_only).items() for p in found}
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 1, 0])
+def test_cluster_counts_with_any_broadcast_bound(inst, paths, rows):
+    bridge = clusters.cluster_bridge(paths, materialise(terms.vocabulary(inst), "v"))
+    found = clusters.cluster_counts(inst, bridge, bound=BroadcastBound(rows=rows))
+    assert_same(collected(found, "brown"), brown())
+
+
+@pytest.mark.parametrize("plus_bow", [False, True])
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("only_clusters", [False, True])
+def test_cluster_choices(inst, paths, plus_bow, weighted, only_clusters):
+    choice = FeatureChoice(model="brown", plus_bow=plus_bow, tfidf=weighted, only_clusters=only_clusters)
+    found = fit_features(inst, choice, paths).transform(inst)
+    scale = tfidf if weighted else (lambda counts: counts)
+    assert_same(collected(found, "brown"), scale(brown(leaf_only=only_clusters)))
+    assert_same(collected(found, "bow"), scale(bow()) if plus_bow else {d: {} for d in DOCS})
+
+
+def test_prefix_counts_do_not_exceed_the_tokens(inst, paths):
+    choice = FeatureChoice(model="brown")
+    found = collected(fit_features(inst, choice, paths).transform(inst), "brown")
+    single = {w for w, _ in Counter(w for _, w in set(PATHS)).items()}
+    for doc, features in found.items():
+        for length in (1, 2, 3, 4):
+            n = sum(v for f, v in features.items() if len(f) == length)
+            assert n <= 2 * sum(counts_of(doc).values()) and single
+
+
+@pytest.mark.parametrize("bow_type,expected", [("binary", 1), ("count", 3), ("anything", 3)])
+def test_bow_type(inst, bow_type, expected):
+    found = fit_features(inst, FeatureChoice(bow_type=bow_type)).transform(inst)
+    assert collected(found, "bow")[1]["the"] == expected
+
+
+def test_vectors_and_words(spark, inst):
+    vectors = spark.createDataFrame([(d, [float(d), 0.5]) for d in (1, 2, 4)], "doc_id bigint, vec array<float>")
+    choice = FeatureChoice(model="word2vec", plus_bow=True, vector_size=2)
+    found = fit_features(inst, choice).transform(inst, vectors)
+    assert_same(collected(found, "bow"), tfidf(bow()))
+    expected = {d: {"1": float(d), "2": 0.5} if d in (1, 2, 4) else {"1": 0.0, "2": 0.0} for d in DOCS}
+    assert_same(collected(found, "vector"), expected)
+
+
+def test_missing_vectors(spark, inst):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0])], "doc_id bigint, vec array<float>")
+    docs = inst.select("doc_id")
+    assert docvectors.attach_vectors(docs, vectors, 2, missing="drop").count() == 1
+    assert vector_pairs(docvectors.attach_vectors(docs, vectors, 2)).count() == 10
+    with pytest.raises(PySparkException, match="no vector for document"):
+        docvectors.attach_vectors(docs, vectors, 2, missing="error").collect()
+
+
+def test_choice_is_checked():
+    with pytest.raises(ValueError):
+        FeatureChoice(model="lda")
+    with pytest.raises(ValueError):
+        FeatureChoice(model="word2vec")
+
+
+def test_index_and_vectors(inst, paths):
+    features = fit_features(inst, FeatureChoice(model="brown", plus_bow=True), paths).transform(inst)
+    index = assemble.feature_index(features)
+    numbers = {(r["family"], r["feature"]): r["idx"] for r in index.collect()}
+    assert sorted(numbers.values()) == list(range(len(numbers)))
+    rows = assemble.vectorize(features, index, inst.select("doc_id")).collect()
+    assert len(rows) == 5
+    expected_brown, expected_bow = brown(), bow()
+    for r in rows:
+        expected = {numbers["brown", f]: v for f, v in expected_brown[r["doc_id"]].items()}
+        expected |= {numbers["bow", f]: v for f, v in expected_bow[r["doc_id"]].items()}
+        assert dict(zip(r["features"].indices.tolist(), r["features"].values.tolist())) == expected
+        assert list(r["features"].indices) == sorted(r["features"].indices)
+        assert r["features"].size == len(numbers)
+
+
+def test_features_missing_in_the_index_are_left_out(inst):
+    features = terms.bow_counts(inst)
+    index = assemble.feature_index(features, min_df=2)
+    assert {r["feature"] for r in index.collect()} == {"the", "dog", "bird"}
+    rows = assemble.vectorize(features, index, inst.select("doc_id")).collect()
+    assert {r["doc_id"]: r["features"].numNonzeros() for r in rows} == {1: 2, 2: 2, 3: 0, 4: 3, 5: 2}
+
+
+def test_index_size_is_checked(inst, monkeypatch):
+    monkeypatch.setattr(assemble, "MAX_FEATURES", 2)
+    features = terms.bow_counts(inst)
+    with pytest.raises(ValueError, match="min_df"):
+        assemble.vectorize(features, assemble.feature_index(features), inst.select("doc_id"))
+
+
+def test_stopwords_leave_the_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "The cat")], "doc_id bigint, text string")
+    kept = terms.vocabulary(terms.instances(terms.tokenize(docs, stopwords=["the"])))
+    assert [r["token"] for r in kept.collect()] == ["cat"]
+
+
+def test_union_takes_every_document_once(spark):
+    train = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    test = spark.createDataFrame([(1, "a"), (3, "c")], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in terms.union_once(train, test).collect()) == [1, 2, 3]
+
+
+def test_corpus_stats(spark):
+    def made(rows):
+        return terms.instances(terms.tokenize(spark.createDataFrame(rows, "doc_id bigint, text string")))
+
+    stats = terms.corpus_stats(made([(1, "a b"), (2, "")]), made([(3, "b c d")]))
+    assert {r["part"]: (r["n_docs"], r["n_words"]) for r in stats.collect()} == {
+        "train": (2, 2),
+        "test": (1, 3),
+        "both": (3, 4),
+    }
+
+
+def test_subsampling_is_repeatable_and_hits_frequent_words(inst):
+    words = materialise(terms.vocabulary(inst), "v")
+    first = docvectors.subsample_terms(inst, words, rate=0.02).collect()
+    assert {r["doc_id"] for r in first} == set(DOCS)
+    again = docvectors.subsample_terms(inst, words, rate=0.02).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    everything = docvectors.subsample_terms(inst, words, rate=1.0)
+    assert terms.explode_terms(everything).count() == terms.explode_terms(inst).count()
