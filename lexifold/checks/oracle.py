@@ -146,6 +146,11 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT word, substr(path, 1, i) AS prefix
         FROM (SELECT word, path, unnest(generate_series(1, length(path))) AS i FROM paths)""",
     "brown_leaves": f"WITH {_prefixes(0)} SELECT word, path AS prefix FROM paths",
+    "brown_known_words": f"""WITH {_prefixes(0)}, {_HELD}
+        SELECT word, prefix FROM bridge WHERE word IN (SELECT token FROM held)""",
+    "brown_partial_counts": f"""WITH {_prefixes(1)}, {_HELD}
+        SELECT doc_id, 'brown' AS family, prefix AS feature, sum(tf)::DOUBLE AS value
+        FROM tf JOIN bridge ON token = word WHERE token IN (SELECT token FROM held) GROUP BY ALL""",
     "cluster_paths_file": f"WITH {_prefixes(0)} SELECT path, word FROM paths",
     "brown_counts": f"WITH {_cluster_counts(0)} {_BROWN_FEATURES.format(value='n::DOUBLE')}",
     "brown_leaf_counts": f"""WITH {_prefixes(0)} SELECT doc_id, 'brown' AS family, path AS feature,
@@ -188,6 +193,9 @@ ORACLE: dict[str, str] = {
           row_number() OVER (ORDER BY md5('bow:' || token), token) - 1 AS idx FROM df)
         SELECT doc_id, idx, 1.0::DOUBLE AS value FROM tf JOIN ix USING (token)""",
     "predictions_file": f"WITH {_LABEL_METRICS} {_OVERALL.format(by='')}",
+    "predictions_log": """SELECT doc_id, quality::DOUBLE AS real, toxic::DOUBLE AS predicted,
+        'predictions' AS stage, run_id, c FROM labels,
+        (VALUES ('first', 0.1::DOUBLE), ('second', 1.0::DOUBLE)) AS runs(run_id, c)""",
     "metrics_log": f"""WITH {_LABEL_METRICS} SELECT {_CLASS_COLUMNS}, 'run' AS run_id, 0.1::DOUBLE AS c, stage
         FROM ratios, (SELECT unnest(['first', 'second']) AS stage)""",
     "confusion_matrix": f"WITH {_PAIRS} SELECT predicted, real, count(*) AS n FROM pairs GROUP BY ALL",

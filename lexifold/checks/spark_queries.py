@@ -211,6 +211,18 @@ def brown_prefixes_two_paths(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.bridge_prefixes(clusters.cluster_bridge(listed, words))
 
 
+def brown_known_words(spark: SparkSession, sf: str) -> DataFrame:
+    listed = _cluster_paths(terms.vocabulary(_held_out(spark, sf)))
+    return clusters.bridge_prefixes(clusters.cluster_bridge(listed, _words(spark, sf)))
+
+
+def brown_partial_counts(spark: SparkSession, sf: str) -> DataFrame:
+    inst = _saved_instances(spark, sf)
+    listed = _cluster_paths(terms.vocabulary(_held_out(spark, sf)))
+    choice = featurize.FeatureChoice(model="brown", cutoff=1)
+    return featurize.fit_features(inst, choice, listed).transform(inst)
+
+
 def cluster_paths_file(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "paths")
     paths.write_cluster_paths(_cluster_paths(terms.vocabulary(_instances(spark, sf))), path)
@@ -365,6 +377,19 @@ def predictions_file(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_metrics(metrics.overall_metrics(results.read_predictions(spark, path)))
 
 
+def predictions_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "log")
+    scored = tables.read_table(spark, sf, "labels").select(
+        "doc_id",
+        F.col("quality").cast("double").alias("real"),
+        F.col("toxic").cast("double").alias("predicted"),
+        F.lit("predictions").alias("stage"),
+    )
+    for run_id, cost in (("first", 0.1), ("second", 1.0)):
+        results.append_results(results.tag_run(scored, run_id, c=cost), path)
+    return spark.read.parquet(path)
+
+
 def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "metrics")
     for stage in ("first", "second"):
@@ -482,6 +507,16 @@ def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.class_metrics(predictions, by=["stage", "fold"])
 
 
+def cross_validation_refit(spark: SparkSession, sf: str) -> DataFrame:
+    inst = _saved_instances(spark, sf)
+    choice = featurize.FeatureChoice(model="brown", tfidf=True)
+    paths_ = _cluster_paths(materialise(terms.vocabulary(inst), "vocabulary"))
+    predictions = crossval.cross_validate_refit(
+        inst, _quality_labels(spark, sf), 2, choice, QUICK, paths=paths_, seed=7
+    )
+    return metrics.overall_metrics(predictions, by=["stage", "fold"])
+
+
 def tune_c_grid(spark: SparkSession, sf: str) -> DataFrame:
     grid = tuning.cost_grid(0.1, 0, 1)
     return tuning.tune_cost(_english_vectors(spark, sf), grid, 2, QUICK, seed=7)
@@ -524,6 +559,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         brown_prefixes_cutoff,
         brown_prefixes_two_paths,
         brown_leaves,
+        brown_known_words,
+        brown_partial_counts,
         cluster_paths_file,
         brown_counts,
         brown_leaf_counts,
@@ -545,6 +582,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         problem_roundtrip,
         libsvm_roundtrip,
         predictions_file,
+        predictions_log,
         metrics_log,
         confusion_matrix,
         confusion_grid,
@@ -562,6 +600,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         svm_one_vs_rest,
         model_reload_predict,
         cross_validation,
+        cross_validation_refit,
         tune_c_grid,
         tune_random,
     )

@@ -10,13 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
-from lexifold.operators.lookup import DEFAULT_BOUND, BroadcastBound, lookup
+from lexifold.operators.lookup import BroadcastBound, fits, lookup
 from lexifold.operators.terms import explode_terms
 from lexifold.session import materialise
 
+# A word counts as hot from this share of the documents of the most frequent
+# word on, and from this number of documents on.
+HOT_SHARE = 1e-4
+HOT_LEAST = 1000
+
 
 def cluster_bridge(
-    paths: DataFrame, vocab: DataFrame, cutoff: int = 0, leaf_only: bool = False, path: str | None = None
+    paths: DataFrame,
+    vocab: DataFrame,
+    cutoff: int = 0,
+    leaf_only: bool = False,
+    path: str | None = None,
+    bound: BroadcastBound | None = None,
 ) -> DataFrame:
     """Table ``(token, path, skip, df)`` that leads from words to clusters.
 
@@ -27,7 +37,10 @@ def cluster_bridge(
     before. With ``leaf_only`` the whole path is the only feature.
 
     Lines are made distinct before they meet in a task, so a word has at most as
-    many rows as there are clusters, however often the file repeats it.
+    many rows as there are clusters, however often the file repeats it. If the
+    vocabulary is too large to broadcast, frequent words without a cluster get a
+    row without a path, so that a lookup knows them and does not shuffle their
+    many occurrences for nothing. ``vocab`` must be a written table.
     """
     listed = paths.select(F.col("word").alias("token"), "path").distinct()
     known = listed.join(vocab.select("token", "df"), "token")
@@ -39,12 +52,18 @@ def cluster_bridge(
         shared = T.common_prefix_length(F.col("previous"), F.col("path"))
         bridge = bridge.withColumn("skip", F.greatest(F.lit(cutoff), shared))
         bridge = bridge.filter(F.length("path") > F.col("skip"))
-    return materialise(bridge.select("token", "path", "skip", "df"), "bridge", path)
+    bridge = bridge.select("token", "path", "skip", "df")
+    if fits(vocab, bound):
+        return materialise(bridge, "bridge", path)
+    least = F.greatest(vocab.agg(F.max("df")).scalar() * HOT_SHARE, F.lit(HOT_LEAST))
+    hot = vocab.filter(F.col("df") >= least).join(listed.select("token"), "token", "left_anti")
+    without = hot.select("token", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("skip"), "df")
+    return materialise(bridge.unionByName(without), "bridge", path)
 
 
 def bridge_prefixes(bridge: DataFrame) -> DataFrame:
     """The bridge written out: one row per word and feature."""
-    return bridge.select(
+    return bridge.filter(F.col("path").isNotNull()).select(
         F.col("token").alias("word"), F.explode(T.path_prefixes(F.col("path"), F.col("skip"))).alias("prefix")
     )
 
@@ -54,7 +73,7 @@ def cluster_counts(
     bridge: DataFrame,
     keep: tuple[str, ...] = ("doc_id",),
     bucketed: bool = False,
-    bound: BroadcastBound = DEFAULT_BOUND,
+    bound: BroadcastBound | None = None,
 ) -> DataFrame:
     """Cluster features with counts: the sum over the words below the cluster.
 
@@ -68,6 +87,7 @@ def cluster_counts(
     terms = explode_terms(rows if bucketed else rows.repartition(keep[0]), keep)
     leaves = (
         lookup(terms, bridge, ["token"], "df", bound=bound)
+        .filter(F.col("path").isNotNull())
         .groupBy(*keep, "path", "skip")
         .agg(F.sum("tf").alias("tf"))
     )

@@ -4,8 +4,10 @@ Word-like keys are skewed: a few keys hold most of the fact rows, and the keyed
 table itself may be too large to broadcast. :func:`lookup` measures the keyed
 table first. If it fits the bounds, it is broadcast whole. If not, its most
 frequent keys, as many as fit, are broadcast, and only the fact rows with rarer
-keys are shuffled. No row is dropped on either way, and no shuffled key is hot,
-because every hot key is in the broadcast part.
+keys are shuffled. No row is dropped on either way, and no key of the table is
+hot in the shuffle, because every hot key is in the broadcast part. A hot key of
+the facts that the table lacks can be listed in it with empty columns; where it
+is not, adaptive execution splits its partition.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,8 +26,14 @@ class BroadcastBound:
     rows: int = 1_000_000
     bytes: int = 64 * 1024 * 1024
 
-
-DEFAULT_BOUND = BroadcastBound()
+    @staticmethod
+    def of(spark: SparkSession) -> BroadcastBound:
+        """The bound of the session, ``spark.lexifold.broadcast.rows`` and ``.bytes``."""
+        default = BroadcastBound()
+        return BroadcastBound(
+            int(spark.conf.get("spark.lexifold.broadcast.rows", str(default.rows))),
+            int(spark.conf.get("spark.lexifold.broadcast.bytes", str(default.bytes))),
+        )
 
 
 def _band(weight: str) -> Column:
@@ -58,13 +66,20 @@ def _cut(dim: DataFrame, weight: str, bound: BroadcastBound) -> int:
     return 0
 
 
+def fits(table: DataFrame, bound: BroadcastBound | None = None) -> bool:
+    """Whether a written table stays within the bound."""
+    bound = bound or BroadcastBound.of(table.sparkSession)
+    row = table.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(table)).alias("b")).first()
+    return row["n"] <= bound.rows and (row["b"] or 0) <= bound.bytes
+
+
 def lookup(
     facts: DataFrame,
     dim: DataFrame,
     keys: Sequence[str],
     weight: str,
     how: str = "inner",
-    bound: BroadcastBound = DEFAULT_BOUND,
+    bound: BroadcastBound | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``dim`` on ``keys``.
 
@@ -72,7 +87,7 @@ def lookup(
     its column with the frequency of the key among the facts.
     """
     keys = list(keys)
-    cut = _cut(dim, weight, bound)
+    cut = _cut(dim, weight, bound or BroadcastBound.of(dim.sparkSession))
     if cut == 0:
         return facts.join(F.broadcast(dim), keys, how)
     frequent = dim.filter(_band(weight) >= cut)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
-from lexifold.operators.lookup import DEFAULT_BOUND, BroadcastBound, lookup
+from lexifold.operators.lookup import BroadcastBound, lookup
 from lexifold.session import materialise
 
 MAX_PARTS = 1000
@@ -64,7 +64,7 @@ def _position(column: str, order: Sequence[str]) -> Column:
 
 
 def apply_idf(
-    counts: DataFrame, idf: DataFrame, within: str | None = None, bound: BroadcastBound = DEFAULT_BOUND
+    counts: DataFrame, idf: DataFrame, within: str | None = None, bound: BroadcastBound | None = None
 ) -> DataFrame:
     """``counts`` with ``df`` and ``weight``; features the table lacks are left out."""
     keys = [within, "feature"] if within else ["feature"]
