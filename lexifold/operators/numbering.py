@@ -33,7 +33,7 @@ def _number(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
 
 def number_by_digest(
-    df: DataFrame, text: Column, ties: Sequence[str], out: str = "position", hex_digits: int = 3
+    df: DataFrame, text: Column, ties: Sequence[str], out: str = "position", hex_digits: int = 4
 ) -> DataFrame:
     """Number rows from 0 in the order of ``md5(text)``, then of ``ties``.
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexifold.operators.clusters import cluster_bridge, cluster_counts
 from lexifold.operators.docvectors import attach_vectors, vector_features
@@ -62,27 +64,41 @@ class FittedFeatures:
             fitted.word_idf = fit_idf(bow_counts(inst), inst)
         return fitted
 
+    def idf(self) -> DataFrame | None:
+        """Rows ``(family, feature, idf)`` of all weighted families."""
+        tables = [
+            table.select(F.lit(family).alias("family"), "feature", "idf")
+            for family, table in (("brown", self.cluster_idf), ("bow", self.word_idf))
+            if table is not None
+        ]
+        return reduce(DataFrame.unionByName, tables) if tables else None
+
+    def counts(self, inst: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+        """Features ``(doc_id, family, feature, value)`` before weighting."""
+        return reduce(DataFrame.unionByName, self._families(inst, vectors).values())
+
     def transform(self, inst: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-        """Features ``(doc_id, family, feature, value)`` of the given documents."""
+        """Features ``(doc_id, family, feature, value)``, weighted as chosen."""
+        families = self._families(inst, vectors)
+        for family, table in (("brown", self.cluster_idf), ("bow", self.word_idf)):
+            if table is not None:
+                families[family] = weighted(families[family], table)
+        return reduce(DataFrame.unionByName, families.values())
+
+    def _families(self, inst: DataFrame, vectors: DataFrame | None) -> dict[str, DataFrame]:
         choice = self.choice
         if choice.model == "bow":
-            features = bow_binary(inst) if choice.bow_type == "binary" else bow_counts(inst)
-            return _as_double(features)
-        if choice.model == "brown":
-            features = cluster_counts(inst, self.bridge)
-            if choice.tfidf:
-                features = weighted(features, self.cluster_idf)
+            found = {"bow": bow_binary(inst) if choice.bow_type == "binary" else bow_counts(inst)}
+        elif choice.model == "brown":
+            found = {"brown": cluster_counts(inst, self.bridge)}
         else:
             if vectors is None:
                 raise ValueError("document vectors are missing")
-            features = vector_features(attach_vectors(inst.select("doc_id"), vectors, choice.vector_size))
-        features = _as_double(features)
-        if choice.plus_bow:
-            words = bow_counts(inst)
-            if self.word_idf is not None:
-                words = weighted(words, self.word_idf)
-            features = features.unionByName(_as_double(words))
-        return features
+            docs = attach_vectors(inst.select("doc_id"), vectors, choice.vector_size)
+            found = {"vector": vector_features(docs)}
+        if choice.plus_bow and choice.model != "bow":
+            found["bow"] = bow_counts(inst)
+        return {family: table.withColumn("value", F.col("value").cast("double")) for family, table in found.items()}
 
 
 def fit_features(
@@ -106,7 +122,3 @@ def fit_features(
     if weigh_words:
         fitted.word_idf = idf_table(words.select(words["token"].alias("feature"), "df"), inst)
     return fitted
-
-
-def _as_double(features: DataFrame) -> DataFrame:
-    return features.withColumn("value", features["value"].cast("double"))
