@@ -528,7 +528,7 @@ def tune_random(spark: SparkSession, sf: str) -> DataFrame:
     return tuning.tune_vectors(
         tokenized,
         terms.instances(tokenized),
-        _language_labels(spark, sf),
+        _quality_labels(spark, sf),
         tuning.random_trials(2, seed=7, ranges=ranges),
         k=2,
         settings=replace(QUICK, c=1000.0),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # The character classes of the tokenisers.
 PUNCTUATION_OR_DIGIT = r"[!-@\[-`{-~]"
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
+PUNCTUATION_DIGIT_OR_SPACE = r"[!-@\[-`{-~ \t\n\x0B\f\r]+"
 UNICODE_SPACE_CHARS = (
     "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -40,6 +41,12 @@ def whitespace_tokens(text: Column, unicode_space: bool = False) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), pattern), "")
 
 
+def clean_tokens(text: Column) -> Column:
+    """``whitespace_tokens(clean_text(text))`` in one pass over the text."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_remove(F.split(lowered, PUNCTUATION_DIGIT_OR_SPACE), "")
+
+
 def split_contractions(text: Column) -> Column:
     """Cut the six contractions in two wherever they stand as whole words.
 
@@ -119,14 +126,6 @@ def term_list(terms: Column) -> Column:
     return F.array_join(F.transform(terms, lambda t: t["token"]), " ")
 
 
-def path_prefixes(path: Column, skip: Column) -> Column:
-    """Prefixes of ``path`` with more than ``skip`` characters."""
-    return F.when(
-        F.length(path) > skip,
-        F.transform(F.sequence(skip + 1, F.length(path)), lambda i: F.substring(path, F.lit(1), i)),
-    ).otherwise(F.expr("cast(array() as array<string>)"))
-
-
 def common_prefix_length(left: Column, right: Column) -> Column:
     """Number of leading characters that both strings share (0 for null)."""
     shortest = F.least(F.length(left), F.length(right))

@@ -6,6 +6,8 @@ of the path of a word is a feature of the documents that hold the word.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,11 +63,22 @@ def cluster_bridge(
     return materialise(bridge.unionByName(without), "bridge", path)
 
 
+def _explode_prefixes(df: DataFrame, keep: Sequence[str], out: str) -> DataFrame:
+    """One row per prefix of ``path`` longer than ``skip``.
+
+    Exploding the lengths and cutting afterwards stays in generated code, which
+    a function over an array of prefixes would not.
+    """
+    lengths = F.sequence(F.col("skip") + 1, F.length("path"))
+    return df.select(*keep, "path", F.explode_outer(lengths).alias("__length")).select(
+        *keep, F.substring("path", F.lit(1), F.col("__length")).alias(out)
+    )
+
+
 def bridge_prefixes(bridge: DataFrame) -> DataFrame:
     """The bridge written out: one row per word and feature."""
-    return bridge.filter(F.col("path").isNotNull()).select(
-        F.col("token").alias("word"), F.explode(T.path_prefixes(F.col("path"), F.col("skip"))).alias("prefix")
-    )
+    clustered = bridge.filter(F.col("path").isNotNull()).withColumnRenamed("token", "word")
+    return _explode_prefixes(clustered, ["word"], "prefix")
 
 
 def cluster_counts(
@@ -91,9 +104,8 @@ def cluster_counts(
         .groupBy(*keep, "path", "skip")
         .agg(F.sum("tf").alias("tf"))
     )
-    prefixes = F.explode(T.path_prefixes(F.col("path"), F.col("skip")))
     return (
-        leaves.select(*keep, prefixes.alias("feature"), "tf")
+        _explode_prefixes(leaves, [*keep, "tf"], "feature")
         .groupBy(*keep, "feature")
         .agg(F.sum("tf").alias("value"))
         .select(*keep, F.lit("brown").alias("family"), "feature", "value")

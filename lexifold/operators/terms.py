@@ -23,8 +23,8 @@ def tokenize(
     stopwords: Sequence[str] = (),
 ) -> DataFrame:
     """``keep`` columns plus the tokens of each document in order."""
-    source = T.clean_text(F.col(text)) if clean else F.col(text)
-    tokens = T.remove_stopwords(T.whitespace_tokens(source), stopwords)
+    tokens = T.clean_tokens(F.col(text)) if clean else T.whitespace_tokens(F.col(text))
+    tokens = T.remove_stopwords(tokens, stopwords)
     return docs.select(*keep, tokens.alias("tokens"))
 
 

@@ -8,22 +8,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def _configured_root(spark: SparkSession) -> str | None:
+    return spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="lexifold-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
-    root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
+    root = _configured_root(spark)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="lexifold-")
-    spark.conf.set(_CHECKPOINT_KEY, root)
-    return root
+    return _local_root()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

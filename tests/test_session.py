@@ -1,0 +1,28 @@
+from types import SimpleNamespace
+
+import pytest
+
+from lexifold import session
+
+
+def test_folder_of_the_session_is_used(spark, monkeypatch):
+    monkeypatch.setattr(session, "_configured_root", lambda spark: "hdfs://shared/checkpoints/")
+    first, second = session.scratch_path(spark, "a"), session.scratch_path(spark, "a")
+    assert first.startswith("hdfs://shared/checkpoints/lexifold/") and first.endswith("/a")
+    assert first != second
+
+
+def test_local_folder_only_on_a_local_master(spark, monkeypatch):
+    monkeypatch.setattr(session, "_configured_root", lambda spark: None)
+    written = session.materialise(spark.range(3), "numbers")
+    assert written.count() == 3 and session.scratch_root(spark) == session.scratch_root(spark)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(cluster)
+
+
+def test_written_table_keeps_its_types(spark, tmp_path):
+    df = spark.sql("select 1L as a, cast(null as string) as b, array(named_struct('x', 1)) as c")
+    back = session.materialise(df, "t", str(tmp_path / "t"))
+    assert [f.dataType for f in back.schema] == [f.dataType for f in df.schema]
+    assert back.collect() == df.collect()

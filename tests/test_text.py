@@ -72,14 +72,10 @@ def test_term_counts_equal_a_counter(spark, documents):
         assert [t["token"] for t in row["terms"]] == sorted(counts, key=lambda w: w.encode())
 
 
-def test_path_prefixes(spark):
-    def prefixes(skip):
-        return lambda c: T.path_prefixes(c, F.lit(skip))
-
-    assert one(spark, "0110", prefixes(0)) == ["0", "01", "011", "0110"]
-    assert one(spark, "0110", prefixes(2)) == ["011", "0110"]
-    assert one(spark, "0110", prefixes(4)) == []
-    assert one(spark, "01", prefixes(3)) == []
+def test_clean_tokens_are_the_tokens_of_clean_text(spark):
+    for text in ("A-b, c3d \u00c9t\u00e9\x0b\u2126 \u212a1", "", None, "  42 ", "x" * 50 + "!", "\u00a0a\u00a0"):
+        two_steps = one(spark, text, lambda c: T.whitespace_tokens(T.clean_text(c)))
+        assert one(spark, text, T.clean_tokens) == two_steps
 
 
 def test_common_prefix_length(spark):
