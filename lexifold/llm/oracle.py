@@ -63,11 +63,11 @@ window_grams AS (
   GROUP BY ALL),
 item_bags AS (SELECT item_id, gram, count(*) AS b FROM item_grams GROUP BY ALL),
 shared AS (
-  SELECT doc_id, item_id, start, sum(least(a, b)) AS both
+  SELECT doc_id, item_id, start, sum(least(a, b)) AS common
   FROM window_grams JOIN item_bags USING (item_id, gram) GROUP BY ALL),
 totals AS (SELECT doc_id, item_id, start, any_value(m) AS m, sum(a) AS a FROM window_grams GROUP BY ALL),
 scored AS (
-  SELECT doc_id, item_id, start, m, both / (a + m - k + 1 - both) AS similarity
+  SELECT doc_id, item_id, start, m, common / (a + m - k + 1 - common) AS similarity
   FROM shared JOIN totals USING (doc_id, item_id, start) JOIN (SELECT item_id, k FROM sized) USING (item_id)),
 best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r

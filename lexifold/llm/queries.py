@@ -5,14 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import decontaminate, exact_dedup, near_dedup, sharding
-from lexifold.llm.common import read_table
+from lexifold.llm import (
+    decontaminate,
+    exact_dedup,
+    html_main,
+    language_id,
+    near_dedup,
+    packing,
+    sharding,
+    token_codes,
+    token_counts,
+)
+from lexifold.llm.common import held_out, read_table, scratch_path
+from lexifold.llm.tokens import public_path
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents")
 
 
+def op2_pack(spark: SparkSession, sf: str) -> DataFrame:
+    pieces, _ = packing.pack(_docs(spark, sf), public_path("byte_bpe_50k.json"), end_id=1)
+    return pieces.drop("key")
+
+
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(_docs(spark, sf), public_path("word_bpe_49k.json"), limit=2048)
+
+
+def op4_token_codes(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token_codes")
+    token_codes.write_codes(_docs(spark, sf), path, public_path("word_bpe_49k.json"), end_id=2)
+    return token_codes.read_documents(spark, path)
+
+
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    model = language_id.fit_languages(docs, public_path("piece_bpe_32k.model"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.contaminated(_docs(spark, sf), read_table(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "window_words", F.round("similarity", 6).alias("similarity"))
@@ -26,6 +59,10 @@ def op7_shard(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_html_main(spark: SparkSession, sf: str) -> DataFrame:
+    return html_main.extract_pages(read_table(spark, sf, "pages"))
+
+
 def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf), words=3, threshold=2)
 
@@ -37,8 +74,13 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_pack,
+        op3_token_counts,
+        op4_token_codes,
+        op5_language_id,
         op6_decontaminate,
         op7_shard,
+        op8_html_main,
         op9_near_dedup,
         op10_exact_dedup,
     )
