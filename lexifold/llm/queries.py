@@ -15,6 +15,7 @@ from lexifold.llm import (
     sharding,
     token_codes,
     token_counts,
+    toxicity,
 )
 from lexifold.llm.common import held_out, read_table, scratch_path
 from lexifold.llm.tokens import public_path
@@ -24,6 +25,13 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents")
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _docs(spark, sf)
+    model = toxicity.fit_toxicity(docs, read_table(spark, sf, "labels"))
+    scored = toxicity.score_texts(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_pack(spark: SparkSession, sf: str) -> DataFrame:
     pieces, _ = packing.pack(_docs(spark, sf), public_path("byte_bpe_50k.json"), end_id=1)
     return pieces.drop("key")
@@ -74,6 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_pack,
         op3_token_counts,
         op4_token_codes,
