@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexifold.llm import decontaminate, exact_dedup, near_dedup
+from lexifold.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from lexifold.llm.common import materialise, read_table
+from lexifold.llm.tokens import public_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null, empty, or without a letter."""
+    model = language_id.fit_languages(docs, public_path("piece_bpe_32k.model"))
+    return language_id.keep_identified(docs, model)
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact_dedup.keep_one_of_each(docs)
@@ -27,10 +34,18 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every token of the documents goes in windows of 2,048."""
+    pieces, _ = packing.pack(docs, public_path("byte_bpe_50k.json"), end_id=1)
+    return pieces.drop("key")
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_dedup_stage),
     ("near_dedup", near_dedup_stage),
     ("decontaminate", decontaminate_stage),
+    ("packing", pack_stage),
 ]
 
 # Trained language models and tokenisers are beyond SQL; tests compare the stages with brute force.
