@@ -253,5 +253,5 @@ def score_texts(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             columns = [pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
             yield pa.record_batch([*batch.columns[:-1], *columns], names)
 
-    schema = docs.select("*").schema.add(score, "double").add(predicted, "int")
+    schema = docs.select("*").schema.add(score, "double").add(predicted, "integer")
     return source.mapInArrow(run, schema)
