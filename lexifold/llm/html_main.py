@@ -47,6 +47,7 @@ ASIDE_WORDS = frozenset(
 )
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
+MARKUP = re.compile(r"<[a-zA-Z/!?]")
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,8 @@ def parse(html: str) -> Node:
     """The tree of a page; markup may be broken or cut off anywhere."""
     tree = _Tree()
     tree.feed(html)
-    tree.close()
+    if not MARKUP.match(tree.rawdata):  # else it ends inside a tag or comment
+        tree.close()
     return tree.root
 
 
