@@ -137,7 +137,7 @@ ORACLE: dict[str, str] = {
         FROM tf JOIN df USING (token)
         UNION ALL SELECT 'test', doc_id, token, {_weight('tf', 'df', '(SELECT count(*) FROM benchmark)')}
         FROM held JOIN rf USING (token)""",
-    "train_test_union": "SELECT doc_id, lang, source FROM documents WHERE source <> 'src0' OR lang = 'en'",
+    "train_test_union": "SELECT doc_id, lang, source FROM documents WHERE source <> 'src0' OR lang = 'en' OR source = 'src0'",
     "brown_prefixes": f"WITH {_prefixes(0)} SELECT word, prefix FROM bridge",
     "brown_prefixes_cutoff": f"WITH {_prefixes(2)} SELECT word, prefix FROM bridge",
     "brown_prefixes_two_paths": f"""WITH {_DF},

@@ -146,28 +146,28 @@ def _rounded(features: DataFrame, column: str = "weight") -> DataFrame:
 
 
 def bow_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    inst = _instances(spark, sf)
+    inst = _saved_instances(spark, sf)
     counts = terms.bow_counts(inst)
     scored = weights.apply_idf(counts, weights.fit_idf(counts, inst))
     return _rounded(scored.select("doc_id", "feature", F.col("value").alias("tf"), "df", "weight"))
 
 
 def tfidf_fit_apply(spark: SparkSession, sf: str) -> DataFrame:
-    inst = _instances(spark, sf)
+    inst = _saved_instances(spark, sf)
     idf = weights.fit_idf(terms.bow_counts(inst), inst)
     scored = weights.apply_idf(terms.bow_counts(_held_out(spark, sf)), idf)
     return _rounded(scored.select("doc_id", "feature", "weight"))
 
 
 def tfidf_per_set(spark: SparkSession, sf: str) -> DataFrame:
-    inst = _both_parts(spark, sf)
+    inst = materialise(_both_parts(spark, sf), "both_parts")
     counts = terms.bow_counts(inst, keep=("part", "doc_id"))
     scored = weights.apply_idf(counts, weights.fit_idf(counts, inst, within="part"), within="part")
     return _rounded(scored.select("part", "doc_id", "feature", "weight"))
 
 
 def tfidf_running(spark: SparkSession, sf: str) -> DataFrame:
-    inst = _both_parts(spark, sf)
+    inst = materialise(_both_parts(spark, sf), "both_parts")
     counts = terms.bow_counts(inst, keep=("part", "doc_id"))
     idf = weights.fit_idf_running(counts, inst, "part", ["train", "test"])
     scored = weights.apply_idf(counts, idf, within="part")
@@ -176,7 +176,7 @@ def tfidf_running(spark: SparkSession, sf: str) -> DataFrame:
 
 def train_test_union(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).select("doc_id", "lang", "source")
-    return terms.union_once(docs.filter("source <> 'src0'"), docs.filter("lang = 'en'"))
+    return terms.union_once(docs.filter("source <> 'src0'"), docs.filter("lang = 'en' or source = 'src0'"))
 
 
 # ---- word clusters -----------------------------------------------------------
@@ -285,7 +285,7 @@ def subsampled_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     lists = materialise(docvectors.training_terms(_tokens(spark, sf)), "token_lists")
-    model = docvectors.fit_word_vectors(lists, layer_size=16, epochs=1, docs_per_partition=100)
+    model = docvectors.fit_word_vectors(lists, layer_size=16, epochs=1)
     return docvectors.document_vectors(model, lists)
 
 
@@ -532,7 +532,6 @@ def tune_random(spark: SparkSession, sf: str) -> DataFrame:
         tuning.random_trials(2, seed=7, ranges=ranges),
         k=2,
         settings=replace(QUICK, c=1000.0),
-        docs_per_partition=100,
         seed=7,
     )
 

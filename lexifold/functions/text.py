@@ -20,7 +20,7 @@ UNICODE_SPACE = "[" + UNICODE_SPACE_CHARS + "]+"
 QUOTES = "[«»“”‘’„]"
 
 # The contractions that hold no apostrophe, cut in two.
-CONTRACTIONS = ("can|not", "gim|me", "gon|na", "got|ta", "lem|me", "wan|na")
+CONTRACTIONS = (("can", "not"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("wan", "na"))
 
 EMPTY_TERMS = "cast(array() as array<struct<token:string,tf:bigint>>)"
 
@@ -53,9 +53,8 @@ def split_contractions(text: Column) -> Column:
     ``wanna`` is cut only before a blank or the end of the text.
     """
     heads = []
-    for pair in CONTRACTIONS:
-        left, right = pair.split("|")
-        end = r"(?=\s|$)" if pair == "wan|na" else r"(?![\p{L}\p{N}_])"
+    for left, right in CONTRACTIONS:
+        end = r"(?=\s|$)" if left == "wan" else r"(?![\p{L}\p{N}_])"
         heads.append(f"({left})({right}){end}")
     pattern = r"(?<![\p{L}\p{N}_])(?:" + "|".join(heads) + ")"
     groups = range(1, 2 * len(CONTRACTIONS), 2)

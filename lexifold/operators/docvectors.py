@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -91,14 +89,15 @@ def fit_word_vectors(
     min_word_frequency: int = 1,
     seed: int = 1234,
     max_weights: int = 500_000_000,
-    docs_per_partition: int = 100_000,
+    num_partitions: int = 8,
 ) -> Word2VecModel:
     """Train word vectors on all token lists.
 
     Spark keeps two vectors per word on the driver, so the words are counted
     first. The job stops if words times ``layer_size`` exceed ``max_weights``;
-    raise ``min_word_frequency`` then. The documents are spread over
-    ``n / docs_per_partition`` training partitions, one per core at most.
+    raise ``min_word_frequency`` then. The documents are spread by a hash of
+    ``doc_id`` over ``num_partitions``, which are trained side by side. The vectors
+    depend on that number and not on the machine.
     """
     frequent = (
         token_lists.select(F.explode_outer("tokens").alias("token"))
@@ -110,8 +109,7 @@ def fit_word_vectors(
     n_words = frequent.count()
     if n_words * layer_size > max_weights:
         raise ValueError(f"{n_words} words are too many for one model; raise min_word_frequency")
-    cores = token_lists.sparkSession.sparkContext.defaultParallelism
-    partitions = min(cores, max(1, math.ceil(token_lists.count() / docs_per_partition)))
+    spread = token_lists.repartition(num_partitions, "doc_id").sortWithinPartitions("doc_id")
     return Word2Vec(
         inputCol="tokens",
         outputCol="vec",
@@ -120,9 +118,9 @@ def fit_word_vectors(
         maxIter=epochs,
         stepSize=learning_rate,
         minCount=min_word_frequency,
-        numPartitions=partitions,
+        numPartitions=num_partitions,
         seed=seed,
-    ).fit(token_lists)
+    ).fit(spread)
 
 
 def document_vectors(model: Word2VecModel, token_lists: DataFrame) -> DataFrame:

@@ -84,8 +84,11 @@ def lookup(
     """Join ``facts`` to ``dim`` on ``keys``.
 
     ``dim`` should be a written table (it is measured here), and ``weight`` is
-    its column with the frequency of the key among the facts.
+    its column with the frequency of the key among the facts. ``how`` is ``inner``
+    or ``left``, the kinds that keep the same rows beyond the bound.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
     keys = list(keys)
     cut = _cut(dim, weight, bound or BroadcastBound.of(dim.sparkSession))
     if cut == 0:

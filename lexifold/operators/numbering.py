@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexifold.session import materialise
+
 _BUCKET = "__bucket"
 _OFFSET = "__offset"
 
@@ -47,17 +49,16 @@ def number_by_digest(
     return _number(digested, ["__digest", *ties], out).drop("__digest")
 
 
-def number_in_order(df: DataFrame, key: str, out: str = "position", buckets: int = 256) -> DataFrame:
+def number_in_order(df: DataFrame, key: str, out: str = "position", buckets: int | None = None) -> DataFrame:
     """Number rows from 0 in the order of a numeric, unique ``key``.
 
-    Approximate quantiles (``buckets`` numbers fetched once) bound the buckets.
-    The numbers are exact wherever the bounds fall.
+    The rows are written in as many ranges of the key as ``buckets`` says, by default
+    the number of shuffle partitions, and sorted range by range.
     """
-    quantiles = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(key, quantiles, 10_000).alias("b")).first()["b"] or []
-    literal = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>")
-    bucket = F.size(F.filter(literal, lambda b: b < F.col(key)))
-    return _number(df.withColumn(_BUCKET, bucket), [key], out)
+    spark = df.sparkSession
+    ranges = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ranges, key).withColumn(_BUCKET, F.spark_partition_id())
+    return _number(materialise(ranged, "ranges"), [key], out)
 
 
 def assign_folds(

@@ -50,11 +50,11 @@ def fit_idf_running(counts: DataFrame, docs: DataFrame, part: str, order: Sequen
     return materialise(df.withColumn("idf", T.inverse_weight(_part_size(docs, part), F.col("df"))), "idf")
 
 
-def _part_size(docs: DataFrame, part: str) -> Column:
+def _part_size(docs: DataFrame, part: str, max_parts: int = MAX_PARTS) -> Column:
     """Number of documents in the part of the row; a split has few parts."""
-    sizes = docs.groupBy(part).agg(F.count(F.lit(1)).alias("n")).limit(MAX_PARTS + 1).collect()
-    if len(sizes) > MAX_PARTS:
-        raise ValueError(f"{part} has more than {MAX_PARTS} values; it should name the part of a split")
+    sizes = docs.groupBy(part).agg(F.count(F.lit(1)).alias("n")).limit(max_parts + 1).collect()
+    if len(sizes) > max_parts:
+        raise ValueError(f"{part} has more than {max_parts} values; it should name the part of a split")
     entries = [F.lit(value) for row in sizes for value in (row[part], row["n"])]
     return F.element_at(F.create_map(*entries), F.col(part)) if entries else F.lit(0)
 

@@ -21,7 +21,7 @@ class FeatureChoice:
 
     ``model`` is ``bow``, ``brown`` or ``word2vec``. ``bow_type`` is ``binary``;
     anything else means counts. ``plus_bow`` adds bag-of-words features to the
-    other two, ``tfidf`` weights cluster and word counts, ``only_clusters`` uses
+    other two, ``tfidf`` weights cluster and word counts (not binary ones), ``only_clusters`` uses
     leaf clusters only, ``cutoff`` leaves out the shortest path prefixes. Words
     next to document vectors are always weighted.
     """
@@ -39,6 +39,15 @@ class FeatureChoice:
             raise ValueError("model is bow, brown or word2vec")
         if self.model == "word2vec" and self.vector_size < 1:
             raise ValueError("document vectors need vector_size")
+        if self.model == "bow" and self.bow_type == "binary" and self.tfidf:
+            raise ValueError("tfidf weights counts, so bow_type cannot be binary")
+
+    @property
+    def weighs_words(self) -> bool:
+        """Whether word counts are weighted."""
+        if self.model == "bow":
+            return self.tfidf
+        return self.plus_bow and (self.model == "word2vec" or self.tfidf)
 
 
 @dataclass
@@ -110,8 +119,7 @@ def fit_features(
     starts from raw text. ``words`` is their vocabulary, if it is already written.
     """
     fitted = FittedFeatures(choice)
-    weigh_words = choice.plus_bow and (choice.model == "word2vec" or (choice.model == "brown" and choice.tfidf))
-    if words is None and (choice.model == "brown" or weigh_words):
+    if words is None and (choice.model == "brown" or choice.weighs_words):
         words = materialise(vocabulary(inst), "vocabulary")
     if choice.model == "brown":
         if paths is None:
@@ -119,6 +127,6 @@ def fit_features(
         fitted.bridge = cluster_bridge(paths, words, choice.cutoff, choice.only_clusters)
         if choice.tfidf:
             fitted.cluster_idf = fit_idf(cluster_counts(inst, fitted.bridge), inst)
-    if weigh_words:
+    if choice.weighs_words:
         fitted.word_idf = idf_table(words.select(words["token"].alias("feature"), "df"), inst)
     return fitted

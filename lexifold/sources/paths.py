@@ -18,6 +18,11 @@ def parse_cluster_paths(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def bad_cluster_paths(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Quarantine: the lines with fewer than two fields."""
+    return lines.filter(F.col(value).isNull() | (F.size(F.split(F.col(value), r"[ \t\n\x0B\f\r]")) < 2))
+
+
 def read_cluster_paths(spark: SparkSession, path: str) -> DataFrame:
     """Cluster paths from a text file."""
     return parse_cluster_paths(spark.read.text(path))

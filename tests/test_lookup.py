@@ -51,3 +51,10 @@ def test_one_fact_may_meet_many_rows(spark):
     for rows in (10, 2, 0):
         found = lookup(facts, dim, ["token"], "df", bound=BroadcastBound(rows=rows))
         assert sorted((r["doc_id"], r["path"]) for r in found.collect()) == [(1, "0"), (1, "1"), (2, "0")]
+
+
+@pytest.mark.parametrize("how", ["right", "full", "left_anti", "left_semi", "cross"])
+def test_other_kinds_of_join_are_refused(tables, how):
+    facts, dim = tables
+    with pytest.raises(ValueError, match="inner or left"):
+        lookup(facts, dim, ["token"], "df", how)
