@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from lexifold.sources.tables import read_table
 
 __all__ = [
     "JoinBound", "drop_documents", "empty_if_null", "fresh", "held_out", "join_groups", "learnable",
-    "materialise", "partition_offsets", "read_table", "scratch_path",
+    "in_pieces", "materialise", "partition_offsets", "read_table", "scratch_path",
 ]
 
 
@@ -39,6 +42,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of at most ``most`` bytes in column ``text``, or of one row.
+
+    What a task holds at a time then follows neither the rows of a batch nor their length.
+    """
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0)).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(low, high - low)
+            pa.default_memory_pool().release_unused()
+            low = high
+
+
 @dataclass(frozen=True)
 class JoinBound:
     """What :func:`join_groups` broadcasts at most, and when a key is hot.

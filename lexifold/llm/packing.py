@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import empty_if_null, materialise
+from lexifold.llm.common import empty_if_null, in_pieces, materialise
 from lexifold.llm.tokens import Encoder, crc32, with_end
 
 
@@ -143,7 +143,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for batch in batches:
+        for batch in in_pieces(batches, 2):
             ids, starts = with_end(*encoder.encode(batch.column(2)), end_id)
             each = [ids[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             sums = [[crc32(d[i : i + window]) for i in range(0, len(d), window)] for d in each]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import empty_if_null, partition_offsets
+from lexifold.llm.common import empty_if_null, in_pieces, partition_offsets
 from lexifold.llm.tokens import Encoder, crc32, with_end
 
 MAGIC = b"DAC1"
@@ -175,7 +175,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int, partiti
             keys.clear(), held.clear(), sizes.clear()
             return row
 
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             ids, starts = with_end(*encoder.encode(batch.column(1)), end_id)
             low = 0
             while low < batch.num_rows:

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,13 @@ import regex
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters for which lower case, composition and classes are the same everywhere.
-PLAIN = re.compile(r" ?[!-~¡-Į]*")
+PLAIN = r"\A ?[!-~¡-Į]+(?:\n[!-~¡-Į]+)*\z"
+#: Stands between chunks; it is white space to the patterns and never in a plain chunk.
+SEPARATOR = "\r"
 #: Blanks next to each other, other than one in front of a word.
 CROWDED = r"  |[\t\n\r] (?:[\t\n\r ]|\z)|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHED_CHUNKS = 300_000
+CACHED_WORDS = 200_000
+GATHER = 500_000
 
 
 def public_path(name: str) -> str:
@@ -56,8 +59,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 else "<u4")
         self.specials = [t["content"] for t in told.get("added_tokens", [])]
         self.style, self.pattern = self._style(told)
+        self.lines = regex.compile(f"{SEPARATOR}|{self.pattern.pattern}") if self.pattern else None
         self.characters = _byte_characters()
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, list[int]] = {}
 
     @staticmethod
     def _style(told: dict) -> tuple[str, regex.Pattern | None]:
@@ -82,28 +86,50 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def chunk(self, chunk: str) -> np.ndarray:
-        """Ids of one chunk."""
-        found = self.cache.get(chunk)
+    def _word(self, word: str) -> list[int]:
+        """Ids of one pre-token, which never needs more than the model."""
+        found = self.cache.get(word)
         if found is None:
-            found = self._chunk(chunk)
-            if len(self.cache) < CACHED_CHUNKS:
-                self.cache[chunk] = found
+            mapped = word if word.isascii() and word[0] > " " else word.encode("utf-8").decode("latin-1").translate(self.characters)
+            found = [t.id for t in self.model.tokenize(mapped)]
+            if len(self.cache) < CACHED_WORDS:
+                self.cache[word] = found
         return found
 
-    def _chunk(self, chunk: str) -> np.ndarray:
-        if not PLAIN.fullmatch(chunk) or any(s in chunk for s in self.specials):
-            return self.whole(chunk)
-        normal = chunk.lower() if self.style == "word" else chunk
-        words = [normal] if normal.isalpha() else self.pattern.findall(normal)
-        ids: list[int] = []
-        for word in words:
-            mapped = word.replace(" ", self.characters[32]) if word.isascii() else self._mapped(word)
-            ids += [t.id for t in self.model.tokenize(mapped)]
-        return np.array(ids, self.dtype)
-
-    def _mapped(self, word: str) -> str:
-        return word.encode("utf-8").decode("latin-1").translate(self.characters)
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct chunks one after another, and where each begins.
+
+        Plain chunks are cut into pre-tokens in one go, and the distinct pre-tokens
+        go to the model. The others go to the library whole.
+        """
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        for special in self.specials:
+            plain = pc.and_not(plain, pc.match_substring(chunks, special))
+        plain = np.asarray(plain)
+        line = SEPARATOR.join(chunks.filter(pa.array(plain)).to_pylist())
+        coded = pa.array(self._lines(line) if line else [], pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        each = [[] if w == SEPARATOR else self._word(w) for w in distinct]
+        flat, begin = _joined(each, self.dtype)
+        codes = np.asarray(coded.indices)
+        ids, starts = _gather(flat, begin, codes)
+        ends = np.flatnonzero(codes == distinct.index(SEPARATOR)) if distinct else np.zeros(0, np.int64)
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[plain] = np.diff(starts[ends], prepend=0)
+        if plain.all():
+            return ids, np.concatenate(([0], np.cumsum(sizes)))
+        others = [self.whole(c) for c in chunks.filter(pa.array(~plain)).to_pylist()]
+        rest, rest_begin = _joined(others, self.dtype)
+        sizes[~plain] = np.diff(rest_begin)
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(begin[-1], self.dtype)
+        mine = np.repeat(plain, sizes)
+        out[mine], out[~mine] = ids, rest
+        return out, begin
+
+    def _lines(self, line: str) -> list[str]:
+        """Pre-tokens of joined chunks, with a separator behind each chunk."""
+        return self.lines.findall((line.lower() if self.style == "word" else line) + SEPARATOR)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch one after another, and where each text (none is null) begins."""
@@ -118,20 +144,18 @@ class Encoder:
         offsets = np.asarray(parts.offsets).astype(np.int64)
         offsets = offsets - offsets[0]
         coded = parts.flatten().dictionary_encode()
-        codes, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        codes, words = np.asarray(coded.indices), coded.dictionary
+        del parts
         if self.style == "space":
             first = np.zeros(len(codes), bool)
             first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-            codes = codes + len(words) * ~first
-            used = np.unique(codes)
-            chunks = [words[c] if c < len(words) else " " + words[c - len(words)] for c in used.tolist()]
-            codes = np.searchsorted(used, codes)
-        else:
-            chunks = words
-        flat, begin = _joined([self.chunk(c) for c in chunks], self.dtype)
-        sizes = np.diff(begin)[codes]
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        ids = flat[np.repeat(begin[codes] - at[:-1], sizes) + np.arange(at[-1])]
+            bare, bare_codes = np.unique(codes[first], return_inverse=True)
+            blanks = pc.binary_join_element_wise(pa.scalar(" "), words, "")
+            words = pa.concat_arrays([blanks, words.take(pa.array(bare))])
+            codes = codes.copy()
+            codes[first] = len(blanks) + bare_codes
+        flat, begin = self.chunks(words)
+        ids, at = _gather(flat, begin, codes)
         starts = at[offsets]
         if crowded.any():
             each = [
@@ -141,10 +165,24 @@ class Encoder:
         return ids, starts
 
 
-def _joined(each: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.concatenate(each) if each else np.zeros(0, dtype)
-    return flat.astype(dtype, copy=False), np.concatenate(([0], np.cumsum(sizes)))
+def _gather(flat: np.ndarray, begin: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[begin[c]:begin[c + 1]]`` of all codes one after another, and where each begins."""
+    sizes = np.diff(begin)
+    at = np.concatenate(([0], np.cumsum(sizes[codes])))
+    out = np.empty(at[-1], flat.dtype)
+    for low in range(0, len(codes), GATHER):
+        some = codes[low : low + GATHER]
+        first, last = at[low], at[low + len(some)]
+        shift = begin[some] - at[low : low + len(some)]
+        out[first:last] = flat[np.repeat(shift, sizes[some]) + np.arange(first, last)]
+    return out, at
+
+
+def _joined(each: list, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))))
+    if each and isinstance(each[0], np.ndarray):
+        return np.concatenate(each).astype(dtype, copy=False), begin
+    return np.fromiter(chain.from_iterable(each), dtype, begin[-1]), begin
 
 
 def with_end(ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

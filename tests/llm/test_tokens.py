@@ -170,3 +170,12 @@ def test_least_squares_meets_a_feasible_histogram():
     columns = packing.combinations(np.flatnonzero(histogram), 32, 8)
     times = packing.solve(histogram, columns, 50)
     assert (10, 22)[::-1] in columns and abs(times[columns.index((22, 10))] - 500) < 1
+
+
+def test_batches_are_cut_by_bytes_and_stay_whole():
+    from lexifold.llm.common import in_pieces
+
+    batch = pa.record_batch([pa.array(range(6)), pa.array(["aa", None, "b" * 50, "", "ccc", "d"])], ["i", "t"])
+    pieces = list(in_pieces(iter([batch, batch.slice(0, 0)]), 1, 4))
+    assert [p.num_rows for p in pieces] == [2, 1, 3]
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
