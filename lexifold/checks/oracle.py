@@ -43,6 +43,20 @@ def _cluster_counts(cutoff: int) -> str:
     FROM tf JOIN bridge ON token = word GROUP BY ALL)"""
 
 
+_LANGUAGE = "CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END::DOUBLE"
+
+
+def _proof(label: str, source: str) -> str:
+    return f"SELECT {label} AS label, count(*) AS n, true AS beats_majority, true AS converged FROM {source} GROUP BY ALL"
+
+
+def _stages(label: str, source: str, k: int) -> str:
+    """Rows ``(label, stage, fold)`` of a cross validation: trained, held out, and all held out together."""
+    return f"""SELECT label, CASE WHEN fold = f THEN 'validation' ELSE 'train' END AS stage, f::INT AS fold
+        FROM (SELECT {label} AS label, {_FOLD} % {k} AS fold FROM {source}), range({k}) AS r(f)
+        UNION ALL SELECT {label}, 'cumulative', -1 FROM {source}"""
+
+
 _FOLD = "(row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1)"
 
 _LANGUAGE = "CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END"
@@ -214,6 +228,19 @@ ORACLE: dict[str, str] = {
         SELECT CASE WHEN fold = 3 THEN 'validation' ELSE 'train' END AS stage, lang, count(*) AS n
         FROM p GROUP BY ALL""",
     "running_number": """SELECT doc_id, 'en_' || (row_number() OVER (ORDER BY doc_id) - 1) AS name FROM documents""",
+    "svm_binary": _proof("quality::DOUBLE", "labels JOIN documents USING (doc_id)"),
+    "svm_one_vs_one": _proof(_LANGUAGE, "documents"),
+    "svm_one_vs_rest": _proof(_LANGUAGE, "documents"),
+    "model_reload_predict": "SELECT item_id AS doc_id, true AS same FROM benchmark",
+    "cross_validation": f"""SELECT stage, fold, label, count(*) AS n, true AS beats_majority
+        FROM ({_stages("(lang = 'en')::INT::DOUBLE", "documents", 10)}) GROUP BY ALL""",
+    "cross_validation_refit": f"""SELECT stage, fold, label, count(*) AS n
+        FROM ({_stages("quality::DOUBLE", "labels JOIN documents USING (doc_id)", 2)}) GROUP BY ALL""",
+    "tune_c_grid": f"""SELECT c, stage, fold, count(*) AS n
+        FROM ({_stages("1", "documents", 2)}), (SELECT unnest([0.1::DOUBLE, 1.0::DOUBLE]) AS c) GROUP BY ALL""",
+    "tune_random": f"""SELECT trial, stage, fold, count(*) AS n
+        FROM ({_stages("1", "labels JOIN documents USING (doc_id)", 2)}), (SELECT unnest([1, 2]) AS trial) GROUP BY ALL""",
+    "doc_vectors": "SELECT doc_id, 16::BIGINT AS n_components, true AS finite FROM documents",
     "feature_index": f"""WITH {_DF} SELECT 'bow' AS family, token AS feature, df,
         row_number() OVER (ORDER BY md5('bow:' || token), token) - 1 AS idx FROM df""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
@@ -20,7 +20,7 @@ from lexifold.sources import corpora, libsvm, paths, results, tables
 STOPWORDS = ["the", "of", "and", "to", "in", "by", "is", "on", "it", "with", "for", "der", "die", "la", "le", "el"]
 
 VECTOR_SIZE = 64
-QUICK = SvmSettings(c=0.1, max_iter=10)
+SOLVED = SvmSettings(c=0.1)
 
 
 # ---- inputs ----------------------------------------------------------------
@@ -286,7 +286,9 @@ def subsampled_terms(spark: SparkSession, sf: str) -> DataFrame:
 def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     lists = materialise(docvectors.training_terms(_tokens(spark, sf)), "token_lists")
     model = docvectors.fit_word_vectors(lists, layer_size=16, epochs=1)
-    return docvectors.document_vectors(model, lists)
+    vectors = docvectors.document_vectors(model, lists)
+    finite = F.forall("vec", lambda x: ~F.isnan(x))
+    return vectors.select("doc_id", F.size("vec").cast("bigint").alias("n_components"), finite.alias("finite"))
 
 
 # ---- files -----------------------------------------------------------------------
@@ -465,33 +467,47 @@ def feature_index(spark: SparkSession, sf: str) -> DataFrame:
 # ---- learning ------------------------------------------------------------------------
 
 
-def _scored(spark: SparkSession, sf: str, labels: DataFrame, settings: SvmSettings) -> DataFrame:
+def _proof(spark: SparkSession, sf: str, labels: DataFrame, settings: SvmSettings) -> DataFrame:
+    """Rows per class, whether the solver met its tolerance, and whether it beats always naming the largest class."""
     inst = _saved_instances(spark, sf)
     choice = featurize.FeatureChoice(model="bow", bow_type="binary")
     model = train.train(inst, labels, choice, settings)
-    return model.predict(train.labelled_instances(inst, labels)).select("doc_id", "real", "predicted")
+    scored = model.predict(train.labelled_instances(inst, labels))
+    return _beats_majority(scored, []).withColumn("converged", F.lit(model.svm.converged))
+
+
+def _beats_majority(scored: DataFrame, by: list[str]) -> DataFrame:
+    """``(by…, label, n, beats_majority)``; only classes are left after the first aggregation."""
+    right = F.sum((F.col("real") == F.col("predicted")).cast("bigint")).alias("right")
+    counts = scored.groupBy(*by, F.col("real").alias("label")).agg(F.count(F.lit(1)).alias("n"), right)
+    everything = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    better = F.sum("right").over(everything) > F.max("n").over(everything)
+    return counts.select(*by, "label", "n", better.alias("beats_majority"))
 
 
 def svm_binary(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf, _quality_labels(spark, sf), QUICK)
+    return _proof(spark, sf, _quality_labels(spark, sf), SOLVED)
 
 
 def svm_one_vs_one(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf, _language_labels(spark, sf), QUICK)
+    return _proof(spark, sf, _language_labels(spark, sf), SOLVED)
 
 
 def svm_one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf, _language_labels(spark, sf), replace(QUICK, strategy="one_vs_rest"))
+    return _proof(spark, sf, _language_labels(spark, sf), replace(SOLVED, strategy="one_vs_rest"))
 
 
 def model_reload_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a reloaded model predicts for each held-out document what the model did before."""
     inst = _saved_instances(spark, sf)
     choice = featurize.FeatureChoice(model="brown", plus_bow=True, tfidf=True)
     clustered = _cluster_paths(terms.vocabulary(inst))
-    model = train.train(inst, _quality_labels(spark, sf), choice, QUICK, paths=clustered)
+    model = train.train(inst, _quality_labels(spark, sf), choice, SOLVED, paths=clustered)
     path = scratch_path(spark, "model")
     model.save(path)
-    return train.TextModel.load(spark, path).predict(_held_out(spark, sf))
+    before = model.predict(_held_out(spark, sf)).withColumnRenamed("predicted", "before")
+    after = train.TextModel.load(spark, path).predict(_held_out(spark, sf))
+    return after.join(before, "doc_id").select("doc_id", (F.col("predicted") == F.col("before")).alias("same"))
 
 
 def _english_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,24 +518,30 @@ def _english_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return train.training_vectors(_saved_instances(spark, sf), labels, choice)[2]
 
 
-def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
-    predictions = crossval.cross_validate(_english_vectors(spark, sf), 3, QUICK, seed=7)
+def cross_validation_report(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
+    predictions = crossval.cross_validate(_english_vectors(spark, sf), k, SOLVED, seed=7)
     return metrics.class_metrics(predictions, by=["stage", "fold"])
 
 
+def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    predictions = crossval.cross_validate(_english_vectors(spark, sf), 10, SOLVED, seed=7)
+    return _beats_majority(predictions, ["stage", "fold"])
+
+
 def cross_validation_refit(spark: SparkSession, sf: str) -> DataFrame:
     inst = _saved_instances(spark, sf)
     choice = featurize.FeatureChoice(model="brown", tfidf=True)
     paths_ = _cluster_paths(materialise(terms.vocabulary(inst), "vocabulary"))
     predictions = crossval.cross_validate_refit(
-        inst, _quality_labels(spark, sf), 2, choice, QUICK, paths=paths_, seed=7
+        inst, _quality_labels(spark, sf), 2, choice, SOLVED, paths=paths_, seed=7
     )
-    return metrics.overall_metrics(predictions, by=["stage", "fold"])
+    return predictions.groupBy("stage", "fold", F.col("real").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def tune_c_grid(spark: SparkSession, sf: str) -> DataFrame:
     grid = tuning.cost_grid(0.1, 0, 1)
-    return tuning.tune_cost(_english_vectors(spark, sf), grid, 2, QUICK, seed=7)
+    report = tuning.tune_cost(_english_vectors(spark, sf), grid, 2, SOLVED, seed=7)
+    return report.select("c", "stage", "fold", "n")
 
 
 def tune_random(spark: SparkSession, sf: str) -> DataFrame:
@@ -531,9 +553,9 @@ def tune_random(spark: SparkSession, sf: str) -> DataFrame:
         _quality_labels(spark, sf),
         tuning.random_trials(2, seed=7, ranges=ranges),
         k=2,
-        settings=replace(QUICK, c=1000.0),
+        settings=SvmSettings(c=1000.0, max_iter=100),
         seed=7,
-    )
+    ).select("trial", "stage", "fold", "n")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

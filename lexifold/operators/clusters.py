@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
-from lexifold.operators.lookup import BroadcastBound, fits, lookup
+from lexifold.operators.lookup import BroadcastBound, lookup
 from lexifold.operators.terms import explode_terms
 from lexifold.session import materialise
 
@@ -28,7 +28,6 @@ def cluster_bridge(
     cutoff: int = 0,
     leaf_only: bool = False,
     path: str | None = None,
-    bound: BroadcastBound | None = None,
 ) -> DataFrame:
     """Table ``(token, path, skip, df)`` that leads from words to clusters.
 
@@ -39,10 +38,10 @@ def cluster_bridge(
     before. With ``leaf_only`` the whole path is the only feature.
 
     Lines are made distinct before they meet in a task, so a word has at most as
-    many rows as there are clusters, however often the file repeats it. If the
-    vocabulary is too large to broadcast, frequent words without a cluster get a
-    row without a path, so that a lookup knows them and does not shuffle their
-    many occurrences for nothing. ``vocab`` must be a written table.
+    many rows as there are clusters, however often the file repeats it. Frequent
+    words without a cluster get a row without a path, so that a lookup beyond the
+    broadcast bound knows them and does not shuffle their many occurrences for
+    nothing. ``vocab`` must be a written table.
     """
     listed = paths.select(F.col("word").alias("token"), "path").distinct()
     known = listed.join(vocab.select("token", "df"), "token")
@@ -55,8 +54,6 @@ def cluster_bridge(
         bridge = bridge.withColumn("skip", F.greatest(F.lit(cutoff), shared))
         bridge = bridge.filter(F.length("path") > F.col("skip"))
     bridge = bridge.select("token", "path", "skip", "df")
-    if fits(vocab, bound):
-        return materialise(bridge, "bridge", path)
     least = F.greatest(vocab.agg(F.max("df")).scalar() * HOT_SHARE, F.lit(HOT_LEAST))
     hot = vocab.filter(F.col("df") >= least).join(listed.select("token"), "token", "left_anti")
     without = hot.select("token", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("skip"), "df")

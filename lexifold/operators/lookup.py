@@ -66,13 +66,6 @@ def _cut(dim: DataFrame, weight: str, bound: BroadcastBound) -> int:
     return 0
 
 
-def fits(table: DataFrame, bound: BroadcastBound | None = None) -> bool:
-    """Whether a written table stays within the bound."""
-    bound = bound or BroadcastBound.of(table.sparkSession)
-    row = table.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(table)).alias("b")).first()
-    return row["n"] <= bound.rows and (row["b"] or 0) <= bound.bytes
-
-
 def lookup(
     facts: DataFrame,
     dim: DataFrame,

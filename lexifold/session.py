@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_RUN_KEY = "spark.lexifold.run"
 
 
 def _configured_root(spark: SparkSession) -> str | None:
@@ -35,8 +38,30 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`scratch_root`."""
-    return f"{scratch_root(spark)}/lexifold/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the folder of the run, or else below :func:`scratch_root`."""
+    folder = spark.conf.get(_RUN_KEY, "") or f"{scratch_root(spark)}/lexifold"
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """A folder for all intermediate tables of one run, removed at its end.
+
+    Write the results elsewhere before the block ends. Threads of the session
+    share the folder; a run inside a run uses that of the outer one.
+    """
+    outer = spark.conf.get(_RUN_KEY, "")
+    if outer:
+        yield outer
+        return
+    folder = f"{scratch_root(spark)}/lexifold/run-{uuid.uuid4().hex}"
+    spark.conf.set(_RUN_KEY, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(_RUN_KEY)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

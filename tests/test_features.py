@@ -157,7 +157,7 @@ def test_hot_words_without_a_cluster_are_known_to_the_lookup(inst, paths, monkey
     monkeypatch.setattr(clusters, "HOT_LEAST", 2)
     small = BroadcastBound(rows=1)
     listed = paths.filter("word <> 'the'")
-    bridge = clusters.cluster_bridge(listed, materialise(terms.vocabulary(inst), "v"), bound=small)
+    bridge = clusters.cluster_bridge(listed, materialise(terms.vocabulary(inst), "v"))
     assert [r["token"] for r in bridge.filter("path is null").collect()] == ["the"]
     assert clusters.bridge_prefixes(bridge).filter("word = 'the'").count() == 0
     found = collected(clusters.cluster_counts(inst, bridge, bound=small), "brown")

@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -26,3 +27,18 @@ def test_written_table_keeps_its_types(spark, tmp_path):
     back = session.materialise(df, "t", str(tmp_path / "t"))
     assert back.schema.simpleString() == df.schema.simpleString()
     assert back.collect() == df.collect()
+
+
+def test_a_run_leaves_nothing_but_its_result(spark, tmp_path):
+    from lexifold.session import materialise, scratch_path, scratch_run
+
+    with scratch_run(spark) as folder:
+        table = materialise(spark.range(5), "numbers")
+        assert scratch_path(spark, "x").startswith(folder)
+        with scratch_run(spark) as inner:
+            assert inner == folder
+        table.write.parquet(str(tmp_path / "result"))
+        assert os.path.isdir(folder.removeprefix("file://").removeprefix("file:"))
+    assert not os.path.isdir(folder.removeprefix("file://").removeprefix("file:"))
+    assert not scratch_path(spark, "x").startswith(folder)
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5
