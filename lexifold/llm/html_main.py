@@ -65,7 +65,7 @@ class Node:
     aside: bool = False
     main: bool = False
     below: list = field(default_factory=list)
-    hash: int = 0
+    hash: int | None = None
 
 
 class _Tree(HTMLParser):
@@ -120,11 +120,13 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def hash_tree(root: Node) -> None:
-    """Set the hash of every node from its tag, class, id, role and all below it."""
+def subtree_hash(root: Node) -> int:
+    """Hash of an element from its tag, class, id, role and all below it, computed when asked for."""
     todo = [(root, False)]
     while todo:
         node, ready = todo.pop()
+        if node.hash is not None:
+            continue
         if not ready:
             todo.append((node, True))
             todo += [(n, False) for n in node.below if isinstance(n, Node)]
@@ -136,6 +138,7 @@ def hash_tree(root: Node) -> None:
                 parts.append(part)
         digest = blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         node.hash = int.from_bytes(digest, "big", signed=True)
+    return root.hash
 
 
 def _candidates(root: Node) -> set[int]:
@@ -147,7 +150,7 @@ def _candidates(root: Node) -> set[int]:
         for n in node.below:
             if isinstance(n, Node) and n.tag not in VOID:
                 if _deletable(n, inside):
-                    found.add(n.hash)
+                    found.add(subtree_hash(n))
                 todo.append((n, inside or n.main))
     return found
 
@@ -156,13 +159,17 @@ def _deletable(node: Node, inside: bool) -> bool:
     return not node.main and node.tag not in ("html", "body") and not (inside and node.tag in PROSE) and bool(node.below)
 
 
+def _is_template(node: Node, inside: bool, template: set[int]) -> bool:
+    return bool(template) and _deletable(node, inside) and subtree_hash(node) in template
+
+
 def _articles(root: Node, template: set[int]) -> list[tuple[Node, bool]]:
     """The outermost articles, else the outermost main parts, else the whole page."""
     found: list[Node] = []
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.aside or (node.hash in template and _deletable(node, False)):
+        if node.aside or _is_template(node, False, template):
             continue
         if node.main:
             found.append(node)
@@ -192,7 +199,7 @@ def main_text(root: Node, template: set[int]) -> str:
                 end()
             elif node.tag == "br":
                 words.append(" ")
-            elif not (node is not article and (node.aside or (node.tag == "header" and not within) or (node.hash in template and _deletable(node, within)))):
+            elif not (node is not article and (node.aside or (node.tag == "header" and not within) or _is_template(node, within, template))):
                 if node.tag in BLOCK:
                     end()
                     todo.append((node, within, True))
@@ -216,9 +223,7 @@ def count_subtrees(pages: DataFrame, rule: TemplateRule) -> DataFrame:
         for batch in batches:
             hosts, hashes = [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(html)
-                hash_tree(root)
-                found = _candidates(root)
+                found = _candidates(parse(html))
                 hosts += [host] * len(found)
                 hashes += found
             yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
@@ -254,9 +259,7 @@ def extract_pages(pages: DataFrame, rule: TemplateRule | None = None) -> DataFra
         for batch in batches:
             texts = []
             for html, template in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                root = parse(html)
-                hash_tree(root)
-                texts.append(main_text(root, set(template.as_py())))
+                texts.append(main_text(parse(html), set(template.as_py())))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

@@ -12,9 +12,7 @@ PAGE = (
 
 
 def text_of(html, template=frozenset()):
-    root = html_main.parse(html)
-    html_main.hash_tree(root)
-    return html_main.main_text(root, set(template))
+    return html_main.main_text(html_main.parse(html), set(template))
 
 
 @pytest.mark.parametrize(
@@ -34,16 +32,12 @@ def text_of(html, template=frozenset()):
 )
 def test_main_text(body, text):
     page = PAGE.format(body=body, host="h")
-    root = html_main.parse(page)
-    html_main.hash_tree(root)
-    div = [n for n in html_main._candidates(root) if n == _hash_of("<div class='x7'>Site wide h</div>")]
+    div = [n for n in html_main._candidates(html_main.parse(page)) if n == _hash_of("<div class='x7'>Site wide h</div>")]
     assert div and text_of(page, div) == text
 
 
 def _hash_of(html):
-    root = html_main.parse(html)
-    html_main.hash_tree(root)
-    return root.below[0].hash
+    return html_main.subtree_hash(html_main.parse(html).below[0])
 
 
 def test_deep_and_broken_markup():
