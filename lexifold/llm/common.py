@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexifold.session import materialise, scratch_path
@@ -16,7 +18,7 @@ from lexifold.sources.tables import read_table
 
 __all__ = [
     "JoinBound", "drop_documents", "empty_if_null", "fresh", "held_out", "join_groups", "learnable",
-    "in_pieces", "materialise", "partition_offsets", "read_table", "scratch_path",
+    "in_pieces", "materialise", "partition_offsets", "read_table", "release_memory", "scratch_path", "small_batches",
 ]
 
 
@@ -42,7 +44,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def in_pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def release_memory() -> None:
+    """Give freed memory back to the system, as an idle worker would otherwise keep it from the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of at most ``most`` bytes in column ``text``, or of one row.
 
     What a task holds at a time then follows neither the rows of a batch nor their length.
@@ -54,10 +64,22 @@ def in_pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 12_000_0
             before = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(low, high - low)
-            pa.default_memory_pool().release_unused()
+            release_memory()
             low = high
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While tables are written inside, Python gets at most ``rows`` rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass(frozen=True)
 class JoinBound:
     """What :func:`join_groups` broadcasts at most, and when a key is hot.

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import empty_if_null, fresh, learnable
+from lexifold.llm.common import empty_if_null, fresh, in_pieces, learnable
 
 UNDETERMINED = "und"
 WORD_START = "▁"
@@ -92,7 +92,7 @@ def spans(words: list[str], pieces: Pieces) -> Iterator[tuple[np.ndarray, int, l
         if n == 0:
             continue
         every = np.flatnonzero(lengths == n)
-        for rows in np.array_split(every, max(1, len(every) // 50_000)):
+        for rows in np.array_split(every, max(1, len(every) // 20_000)):
             line = WORD_START + WORD_START.join([words[r] for r in rows])
             chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(rows), n + 1)
             chars = chars.astype(np.uint64) + np.uint64(1)
@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     names = [*docs.columns, pred, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, len(names) - 2):
             found, sure = _score_batch(batch.column(batch.num_columns - 1), shared.value)
             yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(sure)], names)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import drop_documents, empty_if_null, join_groups, materialise
+from lexifold.llm.common import drop_documents, empty_if_null, in_pieces, join_groups, materialise, release_memory, small_batches
 
 # Generator polynomial and length of the binary Golay code.
 GOLAY_POLYNOMIAL = 0b101011100011
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``(doc_id, fp)`` per row of ``docs``, ``fp`` as a signed long; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             found = np.fromiter(
                 (fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows
             ).view(np.int64)
@@ -148,13 +148,14 @@ def replicate(prints: DataFrame, threshold: int, blocks: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(every), 20_000):
-                fps = every[at : at + 20_000]
+            for at in range(0, len(every), 5_000):
+                fps = every[at : at + 5_000]
                 rows, keys, homes = anchors(fps, threshold, blocks)
                 yield pa.record_batch(
                     [pa.array(keys.view(np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(homes)],
                     ["anchor", "fp", "home"],
                 )
+            release_memory()
 
     return prints.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
@@ -215,7 +216,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, blocks:
     Repeated rows each give a row. An empty table gives no rows; other columns are
     not read. ``blocks`` (1 or 2) only moves work between replication and comparison.
     """
-    printed = materialise(fingerprints(docs, words), "fingerprints")
+    with small_batches(docs.sparkSession):
+        printed = materialise(fingerprints(docs, words), "fingerprints")
     nodes = materialise(
         printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct_prints"
     )

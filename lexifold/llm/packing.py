@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import empty_if_null, in_pieces, materialise
+from lexifold.llm.common import empty_if_null, in_pieces, materialise, small_batches
 from lexifold.llm.tokens import Encoder, crc32, with_end
 
 
@@ -196,7 +196,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, settings: PackSetting
     """
     settings = settings or PackSettings()
     spark, window = docs.sparkSession, settings.window
-    tokens = materialise(tokenise(docs, tokenizer, end_id, window), "token_ids")
+    with small_batches(spark, 2000):
+        tokens = materialise(tokenise(docs, tokenizer, end_id, window), "token_ids")
     numbered, histogram = _numbered(tokens, settings)
     plan = spark.sparkContext.broadcast(make_plan(histogram, settings))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import empty_if_null, in_pieces, partition_offsets
+from lexifold.llm.common import empty_if_null, in_pieces, partition_offsets, small_batches
 from lexifold.llm.tokens import Encoder, crc32, with_end
 
 MAGIC = b"DAC1"
@@ -190,7 +190,8 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, end_id: int, partiti
         if keys:
             yield flush()
 
-    ordered.mapInArrow(run, FILE_SCHEMA).write.mode("overwrite").parquet(path)
+    with small_batches(docs.sparkSession, 2000):
+        ordered.mapInArrow(run, FILE_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ PLAIN = r"\A ?[!-~¡-Į]+(?:\n[!-~¡-Į]+)*\z"
 SEPARATOR = "\r"
 #: Blanks next to each other, other than one in front of a word.
 CROWDED = r"  |[\t\n\r] (?:[\t\n\r ]|\z)|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 GATHER = 500_000
 
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import empty_if_null, fresh, learnable
+from lexifold.llm.common import empty_if_null, fresh, in_pieces, learnable
 
 #: Stands at the end of both dictionaries and of every window, so that each window
 #: compresses and even a short match shows in its length.
@@ -239,7 +239,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         margins = Margins(fitted.toxic, fitted.ordinary, fitted.settings)
-        for batch in batches:
+        for batch in in_pieces(batches, len(names) - 2):
             parts = pc.ascii_split_whitespace(pc.utf8_lower(batch.column(batch.num_columns - 1)))
             coded = parts.flatten().dictionary_encode()
             each = np.fromiter(
