@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash windows and a multi-index of Hamming blocks.
 
-Windows of a document are as long as a benchmark item. A window that shares no
-shingle with any item has similarity 0 to all of them, so windows are laid only
-where a shingle of an item occurs, in line with its place in the item. Windows
-and items get SimHash fingerprints of their shingles. Fingerprints are cut into
+Windows of a document are as long as a benchmark item. To be similar enough, a
+window must hold a least number of shingles of an item, in whatever order, so windows
+are laid at every start that covers as many places with a shingle of items of that
+size; all others are too dissimilar. Windows and items get SimHash fingerprints of their shingles. Fingerprints are cut into
 one block more than the radius: two of them within the radius agree in a block,
 so joining on blocks finds all of them. The weighted Jaccard similarity of the
 shingles, repeats counted, decides.
@@ -111,8 +111,31 @@ def _items(items: DataFrame, contract: Contract) -> DataFrame:
     return shingled.withColumn("fp", simhash(F.col("shingles")))
 
 
+def _covering_starts(places: Column, window: Column, need: Column, last: Column) -> Column:
+    """Starts up to ``last`` of windows over ``window`` places that cover ``need`` of the sorted ``places``."""
+
+    def of(at: Column) -> Column:
+        # The starts whose first place is number i; those up to the place before it belong to that one.
+        def starts(i: Column) -> Column:
+            low = F.greatest(
+                F.element_at(at, i + need) - window + 1, F.when(i > 0, F.get(at, i - 1) + 1).otherwise(F.lit(0)), F.lit(0)
+            )
+            high = F.least(F.element_at(at, i + 1), last)
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<int>)"))
+
+        return F.when(
+            F.size(at) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), starts))
+        ).otherwise(F.expr("cast(array() as array<int>)"))
+
+    return let(places, of)
+
+
 def _anchored_windows(docs: DataFrame, items: DataFrame, contract: Contract) -> DataFrame:
-    """``(doc_id, text_hash, size, k, start)``: places where a window of that size may match."""
+    """``(doc_id, text_hash, size, k, start, in_line)``: places where a window of that size may match.
+
+    Similarity s of bags of a and b shingles needs s / (1 + s) * (a + b) shared ones.
+    ``in_line`` says that a shingle stands in the window where it stands in an item.
+    """
     hashes = F.posexplode(F.transform("shingles", lambda s: F.xxhash64(F.split(s, " "))))
     keyed = materialise(
         items.select("size", "k", hashes.alias("place", "hash")).distinct(), "item_shingles"
@@ -121,23 +144,32 @@ def _anchored_windows(docs: DataFrame, items: DataFrame, contract: Contract) ->
     for row in keyed.select("k").distinct().collect():
         k = int(row["k"])
         shingles = _small(materialise(keyed.filter(F.col("k") == k).drop("k"), "item_shingles_k"), contract)
-        text = F.lower(empty_if_null())
         per_doc = docs.select("doc_id", F.xxhash64(empty_if_null()).alias("text_hash"), _words("text").alias("words")).select(
             "doc_id", "text_hash", F.size("words").alias("n_words"),
             F.posexplode(let(F.col("words"), lambda w, k=k: _shingle_hashes(w, k))).alias("at", "hash"),
         )
         last = F.greatest(F.col("n_words") - F.col("size"), F.lit(0))
         start = F.least(F.greatest(F.col("at") - F.col("place"), F.lit(0)), last)
-        laid = per_doc.join(shingles, "hash").select("doc_id", "text_hash", "size", F.lit(k).alias("k"), start.alias("start"))
+        shared = (
+            per_doc.join(shingles, "hash")
+            .groupBy("doc_id", "text_hash", "n_words", "size")
+            .agg(F.array_sort(F.collect_set("at")).alias("at"), F.collect_set(start).alias("lines"))
+        )
+        own, window = F.col("size") - (k - 1), F.least("size", "n_words") - (k - 1)
+        need = F.ceil(contract.similarity / (1 + contract.similarity) * (own + window) - 1e-9).cast("int")
+        laid = shared.select(
+            "doc_id", "text_hash", "size", F.lit(k).alias("k"), "lines",
+            F.explode(_covering_starts(F.col("at"), window, F.greatest(need, F.lit(1)), last)).alias("start"),
+        ).select("doc_id", "text_hash", "size", "k", "start", F.array_contains("lines", F.col("start")).alias("in_line"))
         found = laid if found is None else found.unionAll(laid)
-    return None if found is None else materialise(found.distinct(), "anchored_windows")
+    return None if found is None else materialise(found, "anchored_windows")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, contract: Contract | None = None) -> DataFrame:
     """Rows ``(doc_id, item_id, start_word, window_words, bit_distance, similarity)``.
 
     One row per document and item of which a window is similar enough: the most
-    similar window, the first of equal ones. Words are lower-cased and split at
+    similar window; of equal ones the first in line with a shingle of the item, else the first. Words are lower-cased and split at
     white space. Items shorter than a shingle are one shingle; items without words
     and documents without words (null ones too) never match. Windows at the ends
     of a text are moved inside it, and shorter than the item if the text is. Rows
@@ -153,7 +185,7 @@ def contaminated(docs: DataFrame, items: DataFrame, contract: Contract | None =
         return spark.createDataFrame([], schema)
     per_text = materialise(
         windows.groupBy(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(
-            F.collect_set(F.struct("size", "k", "start")).alias("places")
+            F.collect_set(F.struct("size", "k", "start", "in_line")).alias("places")
         ),
         "windows_per_text",
     )
@@ -164,13 +196,13 @@ def contaminated(docs: DataFrame, items: DataFrame, contract: Contract | None =
         placed.select("doc_id", "text_hash", _words("text").alias("words"), "places")
         .select("doc_id", "text_hash", "words", F.explode("places").alias("p"))
         .select(
-            "doc_id", "text_hash", F.col("p.size").alias("size"), F.col("p.start").alias("start"),
+            "doc_id", "text_hash", F.col("p.size").alias("size"), F.col("p.start").alias("start"), F.col("p.in_line").alias("in_line"),
             let(
                 F.slice("words", F.col("p.start") + 1, F.col("p.size")),
                 lambda w: F.struct(F.size(w).alias("n"), _shingle_strings(w, F.col("p.k")).alias("shingles")),
             ).alias("w"),
         )
-        .select("doc_id", "text_hash", "size", "start", F.col("w.n").alias("n"), F.col("w.shingles").alias("shingles"))
+        .select("doc_id", "text_hash", "size", "start", "in_line", F.col("w.n").alias("n"), F.col("w.shingles").alias("shingles"))
     )
     printed = materialise(cut.distinct().withColumn("fp", simhash(F.col("shingles"))), "window_prints")
     keys = ["size", "block", "bits"]
@@ -187,7 +219,7 @@ def contaminated(docs: DataFrame, items: DataFrame, contract: Contract | None =
         .distinct()
     )
     back = ["text_hash", "size", "start"]
-    other = printed.select(F.col("doc_id").alias("w_id"), *back, "n", "shingles")
+    other = printed.select(F.col("doc_id").alias("w_id"), *back, "in_line", "n", "shingles")
     item_shingles = indexed.select("item_id", F.col("shingles").alias("item_shingles"))
     verified = (
         candidates.join(other, back)
@@ -197,7 +229,7 @@ def contaminated(docs: DataFrame, items: DataFrame, contract: Contract | None =
         .filter(F.col("similarity") >= contract.similarity)
     )
     best = verified.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n", "bit_distance")).alias("b")
+        F.max(F.struct("similarity", "in_line", (-F.col("start")).alias("before"), "n", "bit_distance")).alias("b")
     )
     return best.select(
         "doc_id", "item_id", (-F.col("b.before")).alias("start_word"), F.col("b.n").alias("window_words"),

@@ -94,6 +94,43 @@ def test_equals_the_search_of_every_window(spark, docs, items, broadcast_rows):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in docs if str(d) not in dirty)
 
 
+def test_finds_passages_in_another_order(spark):
+    parts = [text_of(500 + i, 30) for i in range(4)]
+    items = [(1, " ".join(parts[:2])), (2, " ".join(parts[2:])), (3, " ".join([*parts[1:3], text_of(510, 9)]))]
+    around = [text_of(600 + i, 50) for i in range(6)]
+    docs = [
+        (1, f"{around[0]} {parts[1]} {parts[0]} {around[1]}"),
+        (2, f"{parts[3]} {parts[2]} {around[2]}"),
+        (3, f"{around[3]} {text_of(510, 9)} {parts[2]} {parts[1]}"),
+        (4, f"{parts[1]} {parts[0]}"),
+        (5, f"{around[4]} {parts[1]} {parts[3]} {around[5]}"),
+        (6, f"{parts[1]} {around[0]} {parts[0]}"),
+        (7, " ".join(f"{parts[1]} {parts[0]}".split()[:-2])),
+    ]
+    expected = brute(docs, items)
+    assert {("1", 1), ("2", 2), ("4", 1)} <= set(expected)
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(table, bench).collect()
+    assert {(str(r["doc_id"]), r["item_id"]): round(r["similarity"], 9) for r in found} == expected
+    for r in found:
+        w, x = words(dict(docs)[r["doc_id"]]), words(dict(items)[r["item_id"]])
+        cut = w[r["start_word"] : r["start_word"] + r["window_words"]]
+        assert round(jaccard(shingles(cut, 5), shingles(x, 5)), 9) == round(r["similarity"], 9)
+
+
+def test_covering_starts_equal_a_count_at_every_start(spark):
+    random = np.random.default_rng(1)
+    rows = []
+    for _ in range(200):
+        last, window = int(random.integers(0, 40)), int(random.integers(1, 12))
+        at = sorted({int(x) for x in random.integers(0, last + window, random.integers(0, 40))})
+        rows.append((at, window, int(random.integers(1, window + 1)), last))
+    frame = spark.createDataFrame(rows, "at array<int>, window int, need int, last int")
+    found = frame.select(decontaminate._covering_starts(*map(F.col, ("at", "window", "need", "last"))).alias("s")).collect()
+    for (at, window, need, last), r in zip(rows, found, strict=True):
+        assert r["s"] == [s for s in range(last + 1) if sum(s <= p < s + window for p in at) >= need]
+
+
 def test_empty_tables(spark, edge, nothing, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert decontaminate.contaminated(nothing, bench).count() == 0
