@@ -47,6 +47,9 @@ ASIDE_WORDS = frozenset(
 )
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
+# Elements that no class or id makes an aside, and first parts of class names that only tell of something else.
+OUTER = frozenset("html body main".split())
+STATES = frozenset("has hide no not show with without".split())
 MARKUP = re.compile(r"<[a-zA-Z/!?]")
 
 
@@ -64,6 +67,7 @@ class Node:
     kind: str = ""
     aside: bool = False
     main: bool = False
+    named: bool = False
     below: list = field(default_factory=list)
     hash: int | None = None
 
@@ -73,6 +77,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.mains = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -81,14 +86,16 @@ class _Tree(HTMLParser):
             self._end(ENDS[tag])
         told = {k: v or "" for k, v in attrs if k in ("class", "id", "role")}
         kind = " ".join(f"{k}={told[k]}" for k in sorted(told))
-        words = WORD.findall(f"{told.get('class', '')} {told.get('id', '')}".lower())
         role = told.get("role", "").lower()
-        node = Node(
-            tag, kind, tag in ASIDE_TAGS or role in ASIDE_ROLES or not ASIDE_WORDS.isdisjoint(words), tag in ("article", "main") or role == "main"
-        )
+        node = Node(tag, kind, tag in ASIDE_TAGS or role in ASIDE_ROLES, tag in ("article", "main") or role == "main")
+        node.named = not (tag in OUTER or role == "main") and any(map(_names_aside, f"{told.get('class', '')} {told.get('id', '')}".lower().split()))
+        if node.main and not self.mains:  # the outermost: what wraps it is no aside, and neither is it
+            for n in [*self.open, node]:
+                n.named = False
         self.open[-1].below.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.mains += node.main
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -96,21 +103,31 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag == tag:
-                del self.open[depth:]
+                self._close(depth)
                 return
 
     def handle_data(self, data: str) -> None:
         self.open[-1].below.append(data)
 
+    def _close(self, depth: int) -> None:
+        self.mains -= sum(n.main for n in self.open[depth:])
+        del self.open[depth:]
+
     def _end(self, tags: frozenset) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag in tags:
-                del self.open[depth:]
+                self._close(depth)
                 return
             if self.open[depth].tag in SCOPES:
                 return
 
 
+def _names_aside(token: str) -> bool:
+    """Whether a class or id is an aside word or ends in one, as in ``cookie-notice``, and is not like ``has-sidebar``."""
+    parts = WORD.findall(token)
+    return bool(parts) and parts[-1] in ASIDE_WORDS and parts[0] not in STATES
+
+
 def parse(html: str) -> Node:
     """The tree of a page; markup may be broken or cut off anywhere."""
     tree = _Tree()
@@ -169,7 +186,7 @@ def _articles(root: Node, template: set[int]) -> list[tuple[Node, bool]]:
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.aside or _is_template(node, False, template):
+        if node.aside or node.named or _is_template(node, False, template):
             continue
         if node.main:
             found.append(node)
@@ -199,7 +216,7 @@ def main_text(root: Node, template: set[int]) -> str:
                 end()
             elif node.tag == "br":
                 words.append(" ")
-            elif not (node is not article and (node.aside or (node.tag == "header" and not within) or _is_template(node, within, template))):
+            elif not (node is not article and (node.aside or node.named or (node.tag == "header" and not within) or _is_template(node, within, template))):
                 if node.tag in BLOCK:
                     end()
                     todo.append((node, within, True))

@@ -40,6 +40,25 @@ def _hash_of(html):
     return html_main.subtree_hash(html_main.parse(html).below[0])
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body class='has-sidebar'><article><p>kept</p></article></body>",
+        "<html class='no-sidebar'><body id='menu'><p>kept</p></body></html>",
+        "<body><article class='post social-post'><p>kept</p></article></body>",
+        "<body><article class='promo'><p>kept</p></article></body>",
+        "<main id='content-navigation'><p>kept</p></main>",
+        "<div role='main' class='social'><p>kept</p></div>",
+        "<div class='page with-sidebar'><div id='modal'><article><p>kept</p></article></div></div>",
+        "<div class='with-sidebar'><p>kept</p></div>",
+        "<article><p>kept</p><div class='comments'><article class='comment'><p>no</p></article></div></article>",
+        "<div id='site-menu'>no</div><article><p>kept</p><div class='post-related'>no</div></article><p>no</p>",
+    ],
+)
+def test_class_words_hide_no_outer_element(html):
+    assert text_of(html) == "kept"
+
+
 def test_deep_and_broken_markup():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 3) == "deep"
     assert text_of("</p></div><<p>a <b>b</i> c") .endswith("c")
