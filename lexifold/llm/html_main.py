@@ -4,8 +4,9 @@ Every page is parsed into a tree, and every element is hashed with all that is b
 it. Spark counts on how many pages of a host each subtree occurs. Subtrees that occur
 on many of them are the template of the site and are deleted; so are elements that
 say themselves that they are menus, adverts, forms and the like. What is left of the
-article, or of the body if there is none, is the text. Paragraphs and headings inside
-an article are never taken for template, however often other pages quote them.
+article, or of the body if there is none, is the text. Inside an article only blocks
+that hold no paragraph, heading or other prose are taken for template; prose and
+inline elements never are, however often other pages quote them.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ ENDS = {
 }
 SCOPES = frozenset("article body div html main section table ul ol dl select td th".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead table ul ol dl figure figcaption".split())
+PARTS = BLOCK - PROSE  # inside an article only these may be template
 # Elements, roles and words of class or id that are no main text.
 ASIDE_TAGS = frozenset(
     "aside button canvas dialog embed footer form head iframe input menu nav noscript object script select style svg template textarea".split()
@@ -68,6 +70,7 @@ class Node:
     aside: bool = False
     main: bool = False
     named: bool = False
+    prose: bool = False
     below: list = field(default_factory=list)
     hash: int | None = None
 
@@ -93,6 +96,11 @@ class _Tree(HTMLParser):
             for n in [*self.open, node]:
                 n.named = False
         self.open[-1].below.append(node)
+        if tag in PROSE:
+            for n in reversed(self.open):
+                if n.prose:
+                    break
+                n.prose = True
         if tag not in VOID:
             self.open.append(node)
             self.mains += node.main
@@ -173,7 +181,9 @@ def _candidates(root: Node) -> set[int]:
 
 
 def _deletable(node: Node, inside: bool) -> bool:
-    return not node.main and node.tag not in ("html", "body") and not (inside and node.tag in PROSE) and bool(node.below)
+    if inside and (node.prose or node.tag not in PARTS):
+        return False
+    return not node.main and node.tag not in ("html", "body") and bool(node.below)
 
 
 def _is_template(node: Node, inside: bool, template: set[int]) -> bool:

@@ -59,6 +59,18 @@ def test_class_words_hide_no_outer_element(html):
     assert text_of(html) == "kept"
 
 
+def test_template_takes_no_prose_out_of_an_article():
+    html = "<article><div><section><p><strong>Note:</strong> see <a href='/x'>the <i>guide</i></a></p></section></div><span>end</span><div>Like</div></article>"
+    tree = html_main.parse(html)
+    todo, every = [tree], set()
+    while todo:
+        node = todo.pop()
+        every.add(html_main.subtree_hash(node))
+        todo += [n for n in node.below if isinstance(n, html_main.Node)]
+    assert text_of(html, every) == "Note: see the guide\nend"
+    assert text_of("<article><p>a <b>same</b> c</p></article>", {_hash_of("<b>same</b>")}) == "a same c"
+
+
 def test_deep_and_broken_markup():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 3) == "deep"
     assert text_of("</p></div><<p>a <b>b</i> c") .endswith("c")
