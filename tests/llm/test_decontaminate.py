@@ -131,6 +131,22 @@ def test_covering_starts_equal_a_count_at_every_start(spark):
         assert r["s"] == [s for s in range(last + 1) if sum(s <= p < s + window for p in at) >= need]
 
 
+def test_repeats_do_not_hide_a_similar_window(spark):
+    items = [(i, f"{text_of(700 + i, 140)} {f'x{i} ' * 16}") for i in range(8)]
+    docs = [(i, f"{text_of(800, 20)} {text_of(700 + i, 140)} {f'y{i} ' * 16} {text_of(801, 20)}") for i in range(8)]
+    expected = brute(docs, items)
+    assert len(expected) == 8 and max(expected.values()) < 0.83
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(table, bench).collect()
+    assert {(str(r["doc_id"]), r["item_id"]): round(r["similarity"], 9) for r in found} == expected
+
+
+def test_numbered_repeats(spark):
+    frame = spark.createDataFrame([(["a", "b", "a", "a"],), (["a", "b"],), ([],)], "x array<string>")
+    found = [r["s"] for r in frame.select(decontaminate.numbered(F.col("x")).alias("s")).collect()]
+    assert found == [["a", "b", "a 1", "a 2"], ["a", "b"], []]
+
+
 def test_empty_tables(spark, edge, nothing, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert decontaminate.contaminated(nothing, bench).count() == 0
