@@ -252,6 +252,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` without the documents that have no language."""
+    """``docs`` without the documents that have no language, or no letter if no language was learned."""
+    if not model.languages:
+        return docs.filter(empty_if_null().rlike(r"\p{L}"))
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     return identify(docs, model).filter(F.col(pred) != UNDETERMINED).drop(pred, score)

@@ -160,3 +160,10 @@ def test_toxicity_edge_rows(edge, nothing, labelled, judge):
 def test_long_text_is_read_to_its_end():
     windows = toxicity._windows(LONG, toxicity.ToxicitySettings())
     assert len(windows) == 20_000
+
+
+def test_texts_with_letters_stay_when_no_language_was_learned(spark):
+    rows = [(1, "plain words", None), (2, "12 !", None), (3, None, None), (4, "Ж", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    nothing = language_id.LanguageModel([], None, None, language_id.LanguageSettings())
+    assert sorted(r["doc_id"] for r in language_id.keep_identified(docs, nothing).collect()) == [1, 4]
