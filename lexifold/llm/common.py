@@ -17,7 +17,7 @@ from lexifold.session import materialise, scratch_path
 from lexifold.sources.tables import read_table
 
 __all__ = [
-    "JoinBound", "drop_documents", "empty_if_null", "fresh", "held_out", "join_groups", "learnable",
+    "JoinBound", "components", "drop_documents", "empty_if_null", "fresh", "held_out", "join_groups", "learnable",
     "in_pieces", "materialise", "partition_offsets", "read_table", "release_memory", "scratch_path", "small_batches",
 ]
 
@@ -147,3 +147,36 @@ def drop_documents(docs: DataFrame, dropped: DataFrame, bound_rows: int = 1_000_
     ids = dropped.select(F.col("doc_id").alias(gone)).distinct()
     ids = ids.hint("merge") if many else F.broadcast(ids)
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids[gone]), "left_anti")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(node, root)`` for every node of ``edges (a, b)``; the root is the least node reachable.
+
+    Large-star and small-star steps alternate until nothing changes. Every round is
+    written to the shared folder; only counts come back. A node with very many
+    neighbours is a hot key, so its joins go through :func:`join_groups`.
+    """
+    pairs = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "stars")
+    for _ in range(max_rounds):
+        both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "star_least")
+        bytes_ = F.lit(96)
+        large = join_groups(both.filter("b > a"), least, ["a"], "n", salt_by="b", row_bytes=bytes_)
+        large = materialise(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large_stars")
+        floor = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "star_floor")
+        following = materialise(
+            join_groups(large, floor, ["a"], "n", salt_by="b", row_bytes=bytes_)
+            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+            .select(F.col("e.a").alias("a"), F.col("e.b").alias("b"))
+            .filter("a <> b")
+            .distinct(),
+            "stars",
+        )
+        same = following.count() == pairs.count() and following.join(pairs, ["a", "b"], "left_anti").isEmpty()
+        pairs = following
+        if same:
+            break
+    else:
+        raise RuntimeError("components did not settle; raise max_rounds")
+    roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

@@ -77,8 +77,90 @@ SELECT doc_id, item_id, start::INT AS start_word, least(m, len(w))::INT AS windo
 FROM best JOIN words USING (doc_id) WHERE r = 1
 """
 
+# Links by comparing all pairs, classes by following links.
+VECTOR_DEDUP = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM u WHERE len(e) > 0),
+ok AS (SELECT * FROM n WHERE size > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS r FROM ok UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1),
+d AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)
+"""
+
+
+def vector_codes(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """One pair of steps per round: nearest entries, then floored means."""
+    scaled = "list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))"
+    steps = [
+        f"""kept AS (SELECT vec_id, label, {scaled} AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, v[part * {width} + 1 : part * {width} + {width}] AS x FROM kept, range({parts}) AS r(part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}),
+b0 AS (SELECT part, entry, x AS c FROM p JOIN first USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT vec_id, part, min((list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c))::BIGINT * {entries} + entry) AS d
+  FROM p JOIN b{r} USING (part) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT part, entry, list(floor(s / n) ORDER BY i) AS c FROM (
+    SELECT part, d % {entries} AS entry, i, sum(x[i + 1]) AS s, count(*) AS n
+    FROM a{r} JOIN p USING (vec_id, part), range({width}) AS r(i) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS (SELECT part, entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry))""")
+    return f"""WITH {", ".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', d % {entries}), '' ORDER BY part) AS code, sum(d // {entries})::BIGINT AS error
+  FROM a{rounds} GROUP BY 1),
+books AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+WORDS = r"regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % LOWER
+
+RESAMPLE = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+e AS (SELECT {WORDS} AS w FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+ew AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM e) GROUP BY ALL),
+b AS (
+  SELECT w, {crc32("hex(encode(w))")} % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM dw UNION SELECT w FROM ew), crc_table),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN b USING (w) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM ew JOIN b USING (w) GROUP BY 1),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT doc_id, sum(dw.n * gain)::BIGINT AS total FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY 1),
+x AS (
+  SELECT doc_id, len(w) AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE floor(coalesce(total, 0)::DOUBLE / len(w)) END::BIGINT AS weight,
+    ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h
+  FROM d LEFT JOIN m USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000.0 * ln(-ln((h + 0.5) / 4294967296.0)))::BIGINT AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank
+FROM z LEFT JOIN r USING (doc_id)
+"""
+
 ORACLE = {
     "op6_decontaminate": DECONTAMINATE,
     "op7_shard": SHARD,
     "op10_exact_dedup": EXACT_DEDUP,
+    "op11_vector_dedup": VECTOR_DEDUP,
+    "op12_vector_codes": vector_codes(),
+    "op13_resample": RESAMPLE,
 }

@@ -12,10 +12,13 @@ from lexifold.llm import (
     language_id,
     near_dedup,
     packing,
+    resample,
     sharding,
     token_codes,
     token_counts,
     toxicity,
+    vector_codes,
+    vector_dedup,
 )
 from lexifold.llm.common import held_out, read_table, scratch_path
 from lexifold.llm.tokens import public_path
@@ -79,6 +82,20 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf))
 
 
+def op11_vector_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found, _ = vector_dedup.near_duplicate_vectors(read_table(spark, sf, "embeddings"))
+    return found
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vector_codes.compress(read_table(spark, sf, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(vector_codes.books_digest(books)))
+
+
+def op13_resample(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.resample(_docs(spark, sf), read_table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,5 +109,8 @@ QUERIES = {
         op8_html_main,
         op9_near_dedup,
         op10_exact_dedup,
+        op11_vector_dedup,
+        op12_vector_codes,
+        op13_resample,
     )
 }

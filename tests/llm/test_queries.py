@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "labels", "pages", "benchmark"):
+    for name in ("documents", "labels", "pages", "benchmark", "embeddings"):
         connection.sql(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     return connection
 
@@ -58,7 +58,7 @@ def test_query_keeps_its_contract(spark, duck, name):
 
 def test_all_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages_act_on_what_is_left(spark, duck):
