@@ -236,8 +236,12 @@ ORACLE: dict[str, str] = {
         FROM ({_stages("(lang = 'en')::INT::DOUBLE", "documents", 10)}) GROUP BY ALL""",
     "cross_validation_refit": f"""SELECT stage, fold, label, count(*) AS n
         FROM ({_stages("quality::DOUBLE", "labels JOIN documents USING (doc_id)", 2)}) GROUP BY ALL""",
-    "tune_c_grid": f"""SELECT c, stage, fold, count(*) AS n
-        FROM ({_stages("1", "documents", 2)}), (SELECT unnest([0.1::DOUBLE, 1.0::DOUBLE]) AS c) GROUP BY ALL""",
+    "svm_certificate": f"""WITH l AS (SELECT ({_LANGUAGE})::DOUBLE AS label, count(*) AS n FROM documents GROUP BY 1)
+        SELECT a.label AS negative, b.label AS positive, a.n + b.n AS n, true AS same, true AS within
+        FROM l a JOIN l b ON a.label < b.label""",
+    "tune_c_grid": f"""SELECT c, stage, fold, label, count(*) AS n, true AS beats_majority, true AS converged
+        FROM ({_stages("(lang = 'en')::INT::DOUBLE", "documents", 10)}),
+          (SELECT 0.1::DOUBLE * 10.0::DOUBLE ** unnest([-1, 0, 1, 2, 3]) AS c) GROUP BY ALL""",
     "tune_random": f"""SELECT trial, stage, fold, count(*) AS n
         FROM ({_stages("1", "labels JOIN documents USING (doc_id)", 2)}), (SELECT unnest([1, 2]) AS trial) GROUP BY ALL""",
     "doc_vectors": "SELECT doc_id, 16::BIGINT AS n_components, true AS finite FROM documents",

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
 from lexifold.functions.vectors import vector_pairs
-from lexifold.operators import assemble, clusters, docvectors, metrics, numbering, terms, weights
-from lexifold.operators.svm import SvmSettings
+from lexifold.operators import assemble, certificate, clusters, docvectors, machines, metrics, numbering, terms, weights
+from lexifold.operators.svm import SvmSettings, class_sizes, vector_width
 from lexifold.plans import crossval, featurize, train, tuning
 from lexifold.session import materialise, scratch_path
 from lexifold.sources import corpora, libsvm, paths, results, tables
@@ -538,10 +539,29 @@ def cross_validation_refit(spark: SparkSession, sf: str) -> DataFrame:
     return predictions.groupBy("stage", "fold", F.col("real").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def svm_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """Per pair of languages whether joins over weights and rows give what the solver says, within its tolerance."""
+    inst = _saved_instances(spark, sf)
+    choice = featurize.FeatureChoice(model="bow", bow_type="binary")
+    vectors = train.training_vectors(inst, _language_labels(spark, sf), choice)[2]
+    classes = list(class_sizes(vectors))
+    pairs = [machines.Machine(b, a, SOLVED.c) for a, b in combinations(range(len(classes)), 2)]
+    blocks = machines.pack_blocks(vectors, classes)
+    solved = machines.fit_machines(blocks, vector_width(vectors), pairs, SOLVED.tol, SOLVED.max_iter)
+    named = F.array(*[F.array(F.lit(classes[m.negative]), F.lit(classes[m.positive])) for m in pairs])
+    found = certificate.objectives(vectors, classes, pairs, solved, SOLVED.tol)
+    names = named[F.col("machine")]
+    return found.select(names[0].alias("negative"), names[1].alias("positive"), "n", "same", "within")
+
+
 def tune_c_grid(spark: SparkSession, sf: str) -> DataFrame:
-    grid = tuning.cost_grid(0.1, 0, 1)
-    report = tuning.tune_cost(_english_vectors(spark, sf), grid, 2, SOLVED, seed=7)
-    return report.select("c", "stage", "fold", "n")
+    """The whole grid over ten folds, trained in the same passes."""
+    grid = tuning.cost_grid(0.1, -1, 3)
+    data = crossval.with_folds(_english_vectors(spark, sf), 10, seed=7)
+    models = crossval.fold_models(data, grid, SOLVED)
+    converged = all(model.converged for _, model in models)
+    report = crossval.validate_folds(data, SOLVED, costs=grid, models=models)
+    return _beats_majority(report, ["c", "stage", "fold"]).withColumn("converged", F.lit(converged))
 
 
 def tune_random(spark: SparkSession, sf: str) -> DataFrame:
@@ -622,6 +642,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         model_reload_predict,
         cross_validation,
         cross_validation_refit,
+        svm_certificate,
         tune_c_grid,
         tune_random,
     )
