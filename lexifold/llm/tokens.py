@@ -23,6 +23,8 @@ BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 
 #: Characters for which lower case, composition and classes are the same everywhere.
 PLAIN = r"\A ?[!-~¡-Į]+(?:\n[!-~¡-Į]+)*\z"
+#: Letters alone, with or without a blank before them: one pre-token of a byte-level tokeniser.
+LETTERS = r"\A ?[A-Za-zÀ-ÖØ-öø-Į]+\z"
 #: Stands between chunks; it is white space to the patterns and never in a plain chunk.
 SEPARATOR = "\r"
 #: Blanks next to each other, other than one in front of a word.
@@ -60,6 +62,7 @@ class Encoder:
         self.specials = [t["content"] for t in told.get("added_tokens", [])]
         self.style, self.pattern = self._style(told)
         self.lines = regex.compile(f"{SEPARATOR}|{self.pattern.pattern}") if self.pattern else None
+        self.letters = bool(self.pattern) and (self.style == "space" or "[\\p{L}]+" in self.pattern.pattern)
         self.characters = _byte_characters()
         self.cache: dict[str, list[int]] = {}
 
@@ -90,7 +93,10 @@ class Encoder:
         """Ids of one pre-token, which never needs more than the model."""
         found = self.cache.get(word)
         if found is None:
-            mapped = word if word.isascii() and word[0] > " " else word.encode("utf-8").decode("latin-1").translate(self.characters)
+            if not word.isascii() or word[0] < " ":
+                mapped = word.encode("utf-8").decode("latin-1").translate(self.characters)
+            else:
+                mapped = self.characters[32] + word[1:] if word[0] == " " and word[1:].isalpha() else word if word[0] > " " else word.translate(self.characters)
             found = [t.id for t in self.model.tokenize(mapped)]
             if len(self.cache) < CACHED_WORDS:
                 self.cache[word] = found
@@ -99,34 +105,44 @@ class Encoder:
     def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of distinct chunks one after another, and where each begins.
 
-        Plain chunks are cut into pre-tokens in one go, and the distinct pre-tokens
-        go to the model. The others go to the library whole.
+        Chunks that are one pre-token go to the model. Other plain chunks are cut into
+        pre-tokens in one go, and the distinct pre-tokens go to the model. The others go
+        to the library whole.
         """
         plain = pc.match_substring_regex(chunks, PLAIN)
         for special in self.specials:
             plain = pc.and_not(plain, pc.match_substring(chunks, special))
         plain = np.asarray(plain)
-        line = SEPARATOR.join(chunks.filter(pa.array(plain)).to_pylist())
-        coded = pa.array(self._lines(line) if line else [], pa.string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        each = [[] if w == SEPARATOR else self._word(w) for w in distinct]
-        flat, begin = _joined(each, self.dtype)
-        codes = np.asarray(coded.indices)
-        ids, starts = _gather(flat, begin, codes)
-        ends = np.flatnonzero(codes == distinct.index(SEPARATOR)) if distinct else np.zeros(0, np.int64)
+        single = plain & np.asarray(pc.match_substring_regex(chunks, LETTERS)) & self.letters
+        plain = plain & ~single
         sizes = np.zeros(len(chunks), np.int64)
-        sizes[plain] = np.diff(starts[ends], prepend=0)
-        if plain.all():
-            return ids, np.concatenate(([0], np.cumsum(sizes)))
-        others = [self.whole(c) for c in chunks.filter(pa.array(~plain)).to_pylist()]
-        rest, rest_begin = _joined(others, self.dtype)
-        sizes[~plain] = np.diff(rest_begin)
+        parts = []
+        if plain.any():
+            line = SEPARATOR.join(chunks.filter(pa.array(plain)).to_pylist())
+            coded = pa.array(self._lines(line), pa.string()).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            each = [[] if w == SEPARATOR else self._word(w) for w in distinct]
+            flat, begin = _joined(each, self.dtype)
+            codes = np.asarray(coded.indices)
+            ids, starts = _gather(flat, begin, codes)
+            ends = np.flatnonzero(codes == distinct.index(SEPARATOR))
+            sizes[plain] = np.diff(starts[ends], prepend=0)
+            parts.append((plain, ids))
+        others = ~plain & ~single
+        for mask, encode in ((single, self._letters), (others, self.whole)):
+            if mask.any():
+                ids, begin = _joined([encode(c) for c in chunks.filter(pa.array(mask)).to_pylist()], self.dtype)
+                sizes[mask] = np.diff(begin)
+                parts.append((mask, ids))
         begin = np.concatenate(([0], np.cumsum(sizes)))
         out = np.empty(begin[-1], self.dtype)
-        mine = np.repeat(plain, sizes)
-        out[mine], out[~mine] = ids, rest
+        for mask, ids in parts:
+            out[np.repeat(mask, sizes)] = ids
         return out, begin
 
+    def _letters(self, word: str) -> list[int]:
+        return self._word(word.lower() if self.style == "word" else word)
+
     def _lines(self, line: str) -> list[str]:
         """Pre-tokens of joined chunks, with a separator behind each chunk."""
         return self.lines.findall((line.lower() if self.style == "word" else line) + SEPARATOR)
