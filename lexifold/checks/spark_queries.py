@@ -363,9 +363,9 @@ def libsvm_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     inst = _saved_instances(spark, sf)
     features = terms.bow_binary(inst)
     index = assemble.feature_index(features)
-    docs = inst.select("doc_id", F.col("doc_id").cast("double").alias("label"))
+    docs = inst.select("doc_id", F.col("doc_id").cast("double").alias("label"), "terms")
     path = scratch_path(spark, "libsvm")
-    libsvm.write_libsvm(assemble.vectorize(features, index, docs), path)
+    libsvm.write_libsvm(assemble.vectorize_terms(docs, index, binary=True), path)
     read = libsvm.read_libsvm(spark, path, index.count())
     parts = F.unwrap_udt("features")
     return read.select(
