@@ -6,7 +6,8 @@ on many of them are the template of the site and are deleted; so are elements th
 say themselves that they are menus, adverts, forms and the like. What is left of the
 article, or of the body if there is none, is the text. Inside an article only blocks
 that hold no paragraph, heading or other prose are taken for template; prose and
-inline elements never are, however often other pages quote them.
+inline elements never are, however often other pages quote them. Pages with the same
+markup count as one, so copies of a page make no template of its text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexifold.llm.common import join_groups, materialise
+from lexifold.llm.common import in_pieces, join_groups, materialise, small_batches
 
 # Elements without content, elements that start a block, and elements that end an open paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,9 +45,12 @@ ASIDE_TAGS = frozenset(
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 ASIDE_WORDS = frozenset(
     "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer gdpr login menu modal nav navbar navigation newsletter notice paywall popup promo related respond "
-    "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "disqus feedback footer gdpr login menu modal nav navbar navigation newsletter notice paywall popup promo related "
+    "replies respond responses share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus feedback replies respond responses".split())
+# Elements that are text themselves, which no word hides inside an article.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 # Elements that no class or id makes an aside, and first parts of class names that only tell of something else.
@@ -55,6 +59,11 @@ STATES = frozenset("has hide no not show with without".split())
 MARKUP = re.compile(r"<[a-zA-Z/!?]")
 
 
+#: Bytes of markup that are parsed at a time, and distinct pages with copies that are broadcast at most.
+PIECE_BYTES = 4_000_000
+COPIED_PAGES = 500_000
+
+
 @dataclass(frozen=True)
 class TemplateRule:
     """A subtree is template if at least ``pages`` pages of the host and a ``share`` of them hold it."""
@@ -70,6 +79,7 @@ class Node:
     aside: bool = False
     main: bool = False
     named: bool = False
+    named_inside: bool = False
     prose: bool = False
     below: list = field(default_factory=list)
     hash: int | None = None
@@ -81,6 +91,7 @@ class _Tree(HTMLParser):
         self.root = Node("")
         self.open = [self.root]
         self.mains = 0
+        self.outermost: list[list[Node]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -91,10 +102,13 @@ class _Tree(HTMLParser):
         kind = " ".join(f"{k}={told[k]}" for k in sorted(told))
         role = told.get("role", "").lower()
         node = Node(tag, kind, tag in ASIDE_TAGS or role in ASIDE_ROLES, tag in ("article", "main") or role == "main")
-        node.named = not (tag in OUTER or role == "main") and any(map(_names_aside, f"{told.get('class', '')} {told.get('id', '')}".lower().split()))
-        if node.main and not self.mains:  # the outermost: what wraps it is no aside, and neither is it
-            for n in [*self.open, node]:
-                n.named = False
+        by_class, by_id = (told.get(k, "").lower().split() for k in ("class", "id"))
+        if not (tag in OUTER or role == "main"):
+            node.named = any(_names_aside(t) for t in (*by_class, *by_id))
+            comments = any(_names_aside(t, COMMENT_WORDS) for t in by_id)
+            node.named_inside = tag not in TEXT and (comments or any(map(_names_aside, by_class)))
+        if node.main and not self.mains:
+            self.outermost.append([*self.open, node])
         self.open[-1].below.append(node)
         if tag in PROSE:
             for n in reversed(self.open):
@@ -130,10 +144,22 @@ class _Tree(HTMLParser):
                 return
 
 
-def _names_aside(token: str) -> bool:
+def _names_aside(token: str, words: frozenset = ASIDE_WORDS) -> bool:
     """Whether a class or id is an aside word or ends in one, as in ``cookie-notice``, and is not like ``has-sidebar``."""
     parts = WORD.findall(token)
-    return bool(parts) and parts[-1] in ASIDE_WORDS and parts[0] not in STATES
+    return bool(parts) and parts[-1] in words and parts[0] not in STATES
+
+
+def _length(node: Node) -> int:
+    """Characters of text below an element, without those of asides."""
+    total, todo = 0, [node]
+    while todo:
+        for n in todo.pop().below:
+            if isinstance(n, str):
+                total += len(n.strip())
+            elif not n.aside:
+                todo.append(n)
+    return total
 
 
 def parse(html: str) -> Node:
@@ -142,6 +168,11 @@ def parse(html: str) -> Node:
     tree.feed(html)
     if not MARKUP.match(tree.rawdata):  # else it ends inside a tag or comment
         tree.close()
+    if tree.outermost:
+        # The longest of the outermost articles is no aside, and neither is what wraps it.
+        main = tree.outermost[0] if len(tree.outermost) == 1 else max(tree.outermost, key=lambda chain: _length(chain[-1]))
+        for n in main:
+            n.named = n.named_inside = False
     return tree.root
 
 
@@ -226,7 +257,7 @@ def main_text(root: Node, template: set[int]) -> str:
                 end()
             elif node.tag == "br":
                 words.append(" ")
-            elif not (node is not article and (node.aside or node.named or (node.tag == "header" and not within) or _is_template(node, within, template))):
+            elif not (node is not article and (node.aside or (node.named_inside if within else node.named) or (node.tag == "header" and not within) or _is_template(node, within, template))):
                 if node.tag in BLOCK:
                     end()
                     todo.append((node, within, True))
@@ -243,25 +274,31 @@ def count_subtrees(pages: DataFrame, rule: TemplateRule) -> DataFrame:
     """``(host, n_pages, template)``: per host the hashes of its template, written.
 
     A template subtree is on a given share of the pages, so a host has only so many
-    times more of them than a page has elements.
+    times more of them than a page has elements. Pages of the same markup count as one:
+    each of ``m`` copies counts a part in ``m``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, hashes = [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in in_pieces(batches, 1, PIECE_BYTES):
+            hosts, hashes, parts = [], [], []
+            for host, html, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = _candidates(parse(html))
                 hosts += [host] * len(found)
                 hashes += found
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
-
-    sources = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    seen = sources.mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    sizes = materialise(sources.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")), "host_sizes")
-    often = seen.filter(F.col("n") >= rule.pages).join(sizes, "host").filter(F.col("n") >= F.col("n_pages") * rule.share)
+                parts += [part] * len(found)
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(parts, pa.float64())], ["host", "hash", "part"])
+
+    sources = pages.select(_host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.xxhash64("html"))
+    contents = materialise(sources.groupBy("host", "key").agg(F.count(F.lit(1)).alias("m")), "page_contents")
+    sizes = materialise(contents.groupBy("host").agg(F.sum("m").alias("n_pages"), F.count(F.lit(1)).alias("n_contents")), "host_sizes")
+    copied = contents.filter("m > 1")
+    copied = F.broadcast(copied) if copied.count() <= COPIED_PAGES else copied.hint("merge")
+    weighed = sources.join(copied, ["host", "key"], "left").select("host", "html", (1 / F.coalesce("m", F.lit(1))).alias("part"))
+    seen = weighed.mapInArrow(run, "host string, hash long, part double").groupBy("host", "hash").agg(F.round(F.sum("part"), 3).alias("n"))
+    often = seen.filter(F.col("n") >= rule.pages).join(sizes, "host").filter(F.col("n") >= F.col("n_contents") * rule.share)
     templates = often.groupBy("host").agg(F.collect_list("hash").alias("template"))
     return materialise(
-        sizes.join(templates, "host", "left").withColumn(
+        sizes.drop("n_contents").join(templates, "host", "left").withColumn(
             "template", F.coalesce("template", F.expr("cast(array() as array<bigint>)"))
         ),
         "site_templates",
@@ -272,27 +309,35 @@ def extract_pages(pages: DataFrame, rule: TemplateRule | None = None) -> DataFra
     """One row ``(page_id, url, text, n_chars)`` per row of ``pages``.
 
     Null or empty html gives an empty text. Pages whose url is null or has no host
-    share one host. Repeated rows count as pages of their own. White space in a block
+    share one host. Repeated rows and pages of the same markup are one page where template
+    is counted. Of several outermost articles, all but the longest can be hidden by a class
+    or id that names them, or what wraps them, comments or the like. White space in a block
     becomes one blank, blocks are joined by one line end, line breaks inside a block
     are blanks. An empty table gives no rows; other columns are not read.
     """
     rule = rule or TemplateRule()
     hosted = pages.select("page_id", "url", _host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    templates = count_subtrees(pages, rule)
+    with small_batches(pages.sparkSession, 2000):
+        templates = count_subtrees(pages, rule)
     size = F.size("template") * 8 + F.octet_length("host") + 40
     joined = join_groups(hosted, templates, ["host"], "n_pages", salt_by="page_id", row_bytes=size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known: dict[str, set[int]] = {}
+        for batch in in_pieces(batches, 2, PIECE_BYTES):
             texts = []
-            for html, template in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                texts.append(main_text(parse(html), set(template.as_py())))
+            for html, host, template in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(3), strict=True):
+                if host not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[host] = set(template.as_py())
+                texts.append(main_text(parse(html), known[host]))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "template").mapInArrow(
+    return joined.select("page_id", "url", "html", "template", "host").mapInArrow(
         run, f"page_id {kind}, url string, text string, n_chars long"
     )

@@ -71,6 +71,41 @@ def test_template_takes_no_prose_out_of_an_article():
     assert text_of("<article><p>a <b>same</b> c</p></article>", {_hash_of("<b>same</b>")}) == "a same c"
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article><p>kept</p></article><article class='comment'><p>no</p></article>",
+        "<section class='comments'><article><p>no</p></article></section><article><p>kept</p><p>kept</p></article>",
+        "<article><p>kept, and longer than the others</p></article><div class='user-feedback'><article><p>no</p></article></div>",
+        "<div class='related'><article>no</article></div><div class='promo'><article><p>kept</p><p>kept</p></article></div>",
+    ],
+)
+def test_comments_that_are_articles_go(html):
+    assert "no" not in text_of(html).split() and text_of(html).startswith("kept")
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<p class='notice'>kept</p>", "<section id='share'><p>kept</p></section>", "<ul><li class='menu'>kept</ul>", "<h2 id='comments'>kept</h2>"],
+)
+def test_words_take_no_prose_out_of_an_article(html):
+    assert text_of(f"<article>{html}</article>") == "kept"
+    assert text_of(f"<article>{html}<div id='comments'>no</div><section class='share'><p>no</p></section></article>") == "kept"
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    lines = "<article><div>Line one.</div><div>Line two.</div></article>"
+    rows = [(i, f"http://x.org/{i}", "<div>All of</div><p>the page</p>") for i in range(5)]
+    rows += [(10 + i, f"http://x.org/a{i}", lines) for i in range(5)]
+    rows += [(20 + i, f"http://x.org/b{i}", f"<p>own {i}</p><div>Every page</div>") for i in range(6)]
+    rows += [(30, "http://x.org/c", "<div>Every page</div>")]
+    found = {r["page_id"]: r["text"] for r in html_main.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {found[i] for i in range(5)} == {"All of\nthe page"}
+    assert {found[10 + i] for i in range(5)} == {"Line one.\nLine two."}
+    assert [found[20 + i] for i in range(6)] == [f"own {i}" for i in range(6)]
+    assert found[30] == ""
+
+
 def test_deep_and_broken_markup():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 3) == "deep"
     assert text_of("</p></div><<p>a <b>b</i> c") .endswith("c")
@@ -83,7 +118,7 @@ def pages(spark):
     for i in range(30):
         body = f"<div>own {i}</div>" + ("<div>Shared sentence</div>" if i < 2 else "")
         rows.append((i, f"http://a.org/{i}", PAGE.format(body=body, host="a.org"), "x"))
-        quoted = "<article><p>everyone quotes this</p><div class='z'>Like and follow</div></article>"
+        quoted = f"<article><p>everyone quotes this</p><p>own {i}</p><div class='z'>Like and follow</div></article>"
         rows.append((100 + i, f"https://B.org:80/{i}?q", PAGE.format(body=quoted, host="b"), "x"))
     rows += [(500, "http://few.org/1", PAGE.format(body="<p>few</p>", host="few"), "x")]
     rows += [(600, None, None, None), (601, "", "", "x"), (None, "nonsense", "<p>null id</p>", "x")]
@@ -98,7 +133,7 @@ def test_templates_are_removed_by_host(pages):
         found.setdefault(r["page_id"], []).append(r["text"])
     assert sum(map(len, found.values())) == pages.count()
     assert found[0] == ["own 0\nShared sentence"] and found[5] == ["own 5"]
-    assert found[100] == found[129] == ["everyone quotes this"]
+    assert found[100] == ["everyone quotes this\nown 0"] and found[129] == ["everyone quotes this\nown 29"]
     assert found[500] == ["Site wide few\nfew"]
     assert found[600] == found[601] == [""] and found[None] == ["null id"]
     assert found[602] == [("long " * 50_000).strip()] * 2
