@@ -188,6 +188,15 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, token, tf FROM tf JOIN f USING (token)
         WHERE ('0x' || substr(md5('1234:' || doc_id || ':' || token), 1, 8))::BIGINT / 4294967296.0::DOUBLE
           < (sqrt(share / 0.001) + 1) * 0.001 / share""",
+    "paragraph_vectors": f"SELECT ({_LANGUAGE})::DOUBLE AS label, count(*) AS n, true AS apart FROM documents GROUP BY 1",
+    "reload_vectors": "SELECT item_id AS doc_id, true AS same, true AS moved FROM benchmark",
+    "subsampled_positions": f"""WITH t AS (SELECT doc_id, {_words(_clean())} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS position FROM t),
+        c AS (SELECT token, count(*) AS cf FROM p GROUP BY 1),
+        k AS (SELECT token, (sqrt(share / 0.001) + 1) * 0.001 / share AS keep
+          FROM (SELECT token, cf / (SELECT sum(cf) FROM c) AS share FROM c))
+        SELECT doc_id, position::INT AS position, token FROM p JOIN k USING (token)
+        WHERE ('0x' || substr(md5('1234:' || doc_id || ':' || position), 1, 8))::BIGINT / 4294967296.0::DOUBLE < keep""",
     "labelled_lines": f"""SELECT ({_LANGUAGE}) || 'review' || doc_id AS name, ({_LANGUAGE})::DOUBLE AS label,
         array_to_string({_words(_clean())}, ' ') AS data FROM documents""",
     "labelled_line_terms": f"""WITH {_TOK} SELECT ({_LANGUAGE}) || 'review' || doc_id AS name, token, count(*) AS tf

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
 from lexifold.functions.vectors import vector_pairs
-from lexifold.operators import assemble, certificate, clusters, docvectors, machines, metrics, numbering, terms, weights
-from lexifold.operators.svm import SvmSettings, class_sizes, vector_width
+from lexifold.operators import assemble, certificate, clusters, docvectors, machines, metrics, numbering, paragraphs, terms, weights
+from lexifold.operators.svm import SvmSettings, class_sizes, fit_svm, vector_width
 from lexifold.plans import crossval, featurize, train, tuning
 from lexifold.session import materialise, scratch_path
 from lexifold.sources import corpora, libsvm, paths, results, tables
@@ -539,6 +539,35 @@ def cross_validation_refit(spark: SparkSession, sf: str) -> DataFrame:
     return predictions.groupBy("stage", "fold", F.col("real").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+PARAGRAPHS = paragraphs.ParagraphSettings(size=50)
+
+
+def paragraph_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Per language the documents, and whether planes between the vectors tell 85 % of them at least."""
+    inst = _saved_instances(spark, sf)
+    model = paragraphs.fit_paragraphs(inst, PARAGRAPHS)
+    choice = featurize.FeatureChoice(model="word2vec", vector_size=PARAGRAPHS.size)
+    vectors = train.training_vectors(inst, _language_labels(spark, sf), choice, vectors=materialise(model.docs, "vectors"))[2]
+    told = fit_svm(vectors, SvmSettings(c=10.0)).transform(vectors)
+    right = F.avg((F.col("label") == F.col("predicted")).cast("double"))
+    return told.groupBy("label").agg(F.count(F.lit(1)).alias("n"), (right >= 0.85).alias("apart"))
+
+
+def reload_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a reloaded model infers for each unseen document the vector that the model did before."""
+    model = paragraphs.fit_paragraphs(_saved_instances(spark, sf), PARAGRAPHS)
+    path = scratch_path(spark, "paragraphs")
+    model.save(path)
+    before = model.infer(_held_out(spark, sf)).withColumnRenamed("vec", "before")
+    after = paragraphs.ParagraphModel.load(spark, path).infer(_held_out(spark, sf))
+    moved = F.exists("vec", lambda x: x != 0)
+    return after.join(before, "doc_id").select("doc_id", (F.col("vec") == F.col("before")).alias("same"), moved.alias("moved"))
+
+
+def subsampled_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return paragraphs.kept_positions(_tokens(spark, sf))
+
+
 def svm_certificate(spark: SparkSession, sf: str) -> DataFrame:
     """Per pair of languages whether joins over weights and rows give what the solver says, within its tolerance."""
     inst = _saved_instances(spark, sf)
@@ -613,6 +642,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vectors_plus_bow_tfidf,
         subsampled_terms,
         doc_vectors,
+        paragraph_vectors,
+        reload_vectors,
+        subsampled_positions,
         labelled_lines,
         labelled_line_terms,
         sentence_file,
