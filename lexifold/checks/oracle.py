@@ -219,6 +219,17 @@ ORACLE: dict[str, str] = {
     "predictions_log": """SELECT doc_id, quality::DOUBLE AS real, toxic::DOUBLE AS predicted,
         'predictions' AS stage, run_id, c FROM labels,
         (VALUES ('first', 0.1::DOUBLE), ('second', 1.0::DOUBLE)) AS runs(run_id, c)""",
+    "result_log": """SELECT doc_id, quality::DOUBLE AS real, toxic::DOUBLE AS predicted, run_id, c FROM labels,
+        (VALUES ('first', 0.1::DOUBLE), ('second', 1.0::DOUBLE)) AS runs(run_id, c)""",
+    "feature_choices": f"""WITH {_prefixes(0)}, {_VECTORS},
+        cl AS (SELECT doc_id, path, sum(tf)::BIGINT AS n FROM tf JOIN paths ON token = word GROUP BY ALL),
+        cf AS (SELECT path, count(*) AS df FROM cl GROUP BY path),
+        f AS (SELECT doc_id, 'bow' AS family, tf::DOUBLE AS v, 'bow' AS choice FROM tf
+          UNION ALL SELECT doc_id, 'bow', {_weight('tf', 'df', _N)}, unnest(['bow, weights', 'leaves, words, weights'])
+          FROM tf JOIN df USING (token)
+          UNION ALL SELECT doc_id, 'brown', {_weight('n', 'df', _N)}, 'leaves, words, weights' FROM cl JOIN cf USING (path)
+          UNION ALL SELECT doc_id, 'vector', round(value, 6), 'vectors' FROM vec)
+        SELECT doc_id, family, choice, count(*) AS n, round(sum(v::DECIMAL(28, 6)), 3)::DOUBLE AS total FROM f GROUP BY ALL""",
     "metrics_log": f"""WITH {_LABEL_METRICS} SELECT {_CLASS_COLUMNS}, 'run' AS run_id, 0.1::DOUBLE AS c, stage
         FROM ratios, (SELECT unnest(['first', 'second']) AS stage)""",
     "confusion_matrix": f"WITH {_PAIRS} SELECT predicted, real, count(*) AS n FROM pairs GROUP BY ALL",

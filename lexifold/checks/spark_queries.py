@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -393,6 +394,19 @@ def predictions_log(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def result_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs, one logged twice and once half-way; every row counts once."""
+    path = scratch_path(spark, "result_log")
+    scored = tables.read_table(spark, sf, "labels").select(
+        "doc_id", F.col("quality").cast("double").alias("real"), F.col("toxic").cast("double").alias("predicted")
+    )
+    results.log_results(scored, path, "first", "predictions", c=0.1)
+    results.log_results(scored.withColumn("predicted", -F.col("predicted")), path, "second", "predictions", c=1.0)
+    results.log_results(scored, path, "second", "predictions", c=1.0)
+    results.write_attempt(scored, path)
+    return results.read_log(spark, path, "predictions")
+
+
 def metrics_log(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "metrics")
     for stage in ("first", "second"):
@@ -511,6 +525,27 @@ def model_reload_predict(spark: SparkSession, sf: str) -> DataFrame:
     return after.join(before, "doc_id").select("doc_id", (F.col("predicted") == F.col("before")).alias("same"))
 
 
+CHOICES = {
+    "bow": featurize.FeatureChoice(),
+    "bow, weights": featurize.FeatureChoice(tfidf=True),
+    "leaves, words, weights": featurize.FeatureChoice(model="brown", only_clusters=True, plus_bow=True, tfidf=True),
+    "vectors": featurize.FeatureChoice(model="word2vec", vector_size=VECTOR_SIZE),
+}
+
+
+def feature_choices(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of four choices, added up per document, family and choice."""
+    inst = _saved_instances(spark, sf)
+    words = materialise(terms.vocabulary(inst), "vocabulary")
+    found = []
+    for name, choice in CHOICES.items():
+        fitted = featurize.fit_features(inst, choice, _cluster_paths(words), words)
+        rows = fitted.transform(inst, _pretrained(spark, sf) if choice.model == "word2vec" else None)
+        total = F.round(F.sum(F.round("value", 6).cast("decimal(28,6)")), 3).cast("double").alias("total")
+        found.append(rows.groupBy("doc_id", "family").agg(F.count(F.lit(1)).alias("n"), total).withColumn("choice", F.lit(name)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _english_vectors(spark: SparkSession, sf: str) -> DataFrame:
     labels = tables.read_table(spark, sf, "documents").select(
         "doc_id", (F.col("lang") == "en").cast("double").alias("label")
@@ -656,6 +691,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         libsvm_roundtrip,
         predictions_file,
         predictions_log,
+        result_log,
         metrics_log,
         confusion_matrix,
         confusion_grid,
@@ -668,6 +704,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fold_filter,
         running_number,
         feature_index,
+        feature_choices,
         svm_binary,
         svm_one_vs_one,
         svm_one_vs_rest,

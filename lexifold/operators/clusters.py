@@ -94,7 +94,7 @@ def cluster_counts(
     has to be moved.
     """
     rows = inst.select(*keep, "terms")
-    terms = explode_terms(rows if bucketed else rows.repartition(keep[0]), keep)
+    terms = explode_terms(rows if bucketed else rows.repartition(*keep), keep)
     leaves = (
         lookup(terms, bridge, ["token"], "df", bound=bound)
         .filter(F.col("path").isNotNull())
