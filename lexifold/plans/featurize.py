@@ -58,6 +58,8 @@ class FittedFeatures:
     bridge: DataFrame | None = None
     cluster_idf: DataFrame | None = None
     word_idf: DataFrame | None = None
+    # The instances that were fitted and their written cluster counts, so that they are counted once.
+    counted: tuple[DataFrame, DataFrame] | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         """The tables that are there, by name."""
@@ -99,7 +101,8 @@ class FittedFeatures:
         if choice.model == "bow":
             found = {"bow": bow_binary(inst) if choice.bow_type == "binary" else bow_counts(inst)}
         elif choice.model == "brown":
-            found = {"brown": cluster_counts(inst, self.bridge)}
+            same = self.counted is not None and self.counted[0] is inst
+            found = {"brown": self.counted[1] if same else cluster_counts(inst, self.bridge)}
         else:
             if vectors is None:
                 raise ValueError("document vectors are missing")
@@ -126,7 +129,8 @@ def fit_features(
             raise ValueError("cluster paths are missing")
         fitted.bridge = cluster_bridge(paths, words, choice.cutoff, choice.only_clusters)
         if choice.tfidf:
-            fitted.cluster_idf = fit_idf(cluster_counts(inst, fitted.bridge), inst)
+            fitted.counted = (inst, materialise(cluster_counts(inst, fitted.bridge), "cluster_counts"))
+            fitted.cluster_idf = fit_idf(fitted.counted[1], inst)
     if choice.weighs_words:
         fitted.word_idf = idf_table(words.select(words["token"].alias("feature"), "df"), inst)
     return fitted
