@@ -128,6 +128,9 @@ ORACLE: dict[str, str] = {
         FROM tf GROUP BY doc_id)
         SELECT doc_id, coalesce(terms, '') AS terms FROM documents LEFT JOIN j USING (doc_id)""",
     "vocabulary": f"WITH {_DF} SELECT token, df, cf FROM df",
+    "vocabulary_versions": f"""WITH {_DF}, {_HELD}, late AS (SELECT DISTINCT token FROM held ANTI JOIN df USING (token))
+        SELECT token, row_number() OVER (ORDER BY md5(token), token) - 1 AS idx, 1 AS version FROM df
+        UNION ALL SELECT token, row_number() OVER (ORDER BY md5(token), token) - 1 + (SELECT count(*) FROM df), 2 FROM late""",
     "corpus_stats": f"""WITH {_TF}, {_HELD}
         SELECT 'train' AS part, {_N} AS n_docs, (SELECT count(DISTINCT token) FROM tf) AS n_words
         UNION ALL SELECT 'test', (SELECT count(*) FROM benchmark), (SELECT count(DISTINCT token) FROM held)

@@ -16,7 +16,7 @@ from lexifold.operators import assemble, certificate, clusters, docvectors, mach
 from lexifold.operators.svm import SvmSettings, class_sizes, fit_svm, vector_width
 from lexifold.plans import crossval, featurize, train, tuning
 from lexifold.session import materialise, scratch_path
-from lexifold.sources import corpora, libsvm, paths, results, tables
+from lexifold.sources import corpora, dictionary, libsvm, paths, results, tables
 
 # Words the stop-word query removes.
 STOPWORDS = ["the", "of", "and", "to", "in", "by", "is", "on", "it", "with", "for", "der", "die", "la", "le", "el"]
@@ -131,6 +131,14 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return terms.vocabulary(_instances(spark, sf))
 
 
+def vocabulary_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary of the training words, and the words of the test set added to it later."""
+    path = scratch_path(spark, "dictionary")
+    dictionary.add_words(spark, path, terms.explode_terms(_instances(spark, sf)))
+    dictionary.add_words(spark, path, terms.explode_terms(_held_out(spark, sf)))
+    return dictionary.read_dictionary(spark, path)
+
+
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return terms.corpus_stats(_instances(spark, sf), _held_out(spark, sf))
 
@@ -652,6 +660,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentence_corpus,
         paragraph_terms,
         vocabulary,
+        vocabulary_versions,
         corpus_stats,
         bow_counts,
         bow_binary,
