@@ -131,6 +131,14 @@ ORACLE: dict[str, str] = {
     "vocabulary_versions": f"""WITH {_DF}, {_HELD}, late AS (SELECT DISTINCT token FROM held ANTI JOIN df USING (token))
         SELECT token, row_number() OVER (ORDER BY md5(token), token) - 1 AS idx, 1 AS version FROM df
         UNION ALL SELECT token, row_number() OVER (ORDER BY md5(token), token) - 1 + (SELECT count(*) FROM df), 2 FROM late""",
+    "ledger_idf": f"""WITH {_TF}, {_HELD},
+        own AS (SELECT unnest([1, 2, 3]) AS batch, doc_id, token FROM tf),
+        seen AS (SELECT batch, token FROM own JOIN documents USING (doc_id) WHERE batch < 3 OR lang IS DISTINCT FROM 'fr'
+          UNION ALL SELECT unnest([2, 3]), token FROM held),
+        n AS (SELECT 1 AS batch, {_N} AS n UNION ALL SELECT 2, {_N} + (SELECT count(*) FROM benchmark)
+          UNION ALL SELECT 3, (SELECT count(*) FROM documents WHERE lang IS DISTINCT FROM 'fr') + (SELECT count(*) FROM benchmark)),
+        df AS (SELECT batch, token AS feature, count(*) AS df FROM seen GROUP BY ALL)
+        SELECT batch, feature, df, round(log10(n / df), 6) AS idf FROM df JOIN n USING (batch)""",
     "corpus_stats": f"""WITH {_TF}, {_HELD}
         SELECT 'train' AS part, {_N} AS n_docs, (SELECT count(DISTINCT token) FROM tf) AS n_words
         UNION ALL SELECT 'test', (SELECT count(*) FROM benchmark), (SELECT count(DISTINCT token) FROM held)

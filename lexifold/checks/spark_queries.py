@@ -16,7 +16,7 @@ from lexifold.operators import assemble, certificate, clusters, docvectors, mach
 from lexifold.operators.svm import SvmSettings, class_sizes, fit_svm, vector_width
 from lexifold.plans import crossval, featurize, train, tuning
 from lexifold.session import materialise, scratch_path
-from lexifold.sources import corpora, dictionary, libsvm, paths, results, tables
+from lexifold.sources import corpora, dictionary, ledger, libsvm, paths, results, tables
 
 # Words the stop-word query removes.
 STOPWORDS = ["the", "of", "and", "to", "in", "by", "is", "on", "it", "with", "for", "der", "die", "la", "le", "el"]
@@ -139,6 +139,18 @@ def vocabulary_versions(spark: SparkSession, sf: str) -> DataFrame:
     return dictionary.read_dictionary(spark, path)
 
 
+def ledger_idf(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights after the training documents, after those of the test set, and after the French ones are gone."""
+    path = scratch_path(spark, "ledger")
+    inst = materialise(_instances(spark, sf, "lang"), "instances")
+    ledger.record_batch(spark, path, inst)
+    ledger.record_batch(spark, path, _held_out(spark, sf))
+    ledger.compact(spark, path)
+    ledger.record_batch(spark, path, inst.filter("lang = 'fr'"), leaves=True)
+    each = [ledger.idf_as_of(spark, path, b).withColumn("batch", F.lit(b)) for b in (1, 2, 3)]
+    return reduce(DataFrame.unionByName, each).withColumn("idf", F.round("idf", 6))
+
+
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return terms.corpus_stats(_instances(spark, sf), _held_out(spark, sf))
 
@@ -661,6 +673,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         paragraph_terms,
         vocabulary,
         vocabulary_versions,
+        ledger_idf,
         corpus_stats,
         bow_counts,
         bow_binary,
