@@ -52,17 +52,11 @@ def release_memory() -> None:
         trim(0)
 
 
-#: Bytes of text after which a task gives freed memory back.
-RELEASED = 24_000_000
-
-
 def in_pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of at most ``most`` bytes in column ``text``, or of one row.
 
     What a task holds at a time then follows neither the rows of a batch nor their length.
-    Memory is given back after every ``RELEASED`` bytes and at the end.
     """
-    passed = 0
     for batch in batches:
         ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0)).astype(np.int64))
         low = 0
@@ -70,12 +64,8 @@ def in_pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 6_000_00
             before = ends[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(low, high - low)
-            passed += int(ends[high - 1] - before)
-            if passed >= RELEASED:
-                release_memory()
-                passed = 0
+            release_memory()
             low = high
-    release_memory()
 
 
 @contextmanager
