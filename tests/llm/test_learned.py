@@ -1,6 +1,8 @@
 """Language and toxicity: brute-force sums, held-out accuracy, edge rows."""
 
 import math
+import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -49,23 +51,92 @@ def brute_word(word, texts, probabilities, longest):
     return math.log(rest(0))
 
 
-def test_forward_sums_all_segmentations(model):
+def piece_numbers(model):
     import sentencepiece
 
     vocabulary = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     numbers = {None: len(model.pieces) - 1}
     for i in range(vocabulary.get_piece_size()):
         piece = vocabulary.id_to_piece(i)
-        if vocabulary.is_byte(i) or vocabulary.is_control(i) or vocabulary.is_unknown(i) or len(piece) > model.pieces.longest:
-            continue
-        numbers[piece] = int(model.pieces.find(np.array([language_id._hash(piece)], np.uint64))[0])
-    words = ["the", "thering", "schung", "x", "été", "東京", "qzqzq", "a"]
+        if piece and not (vocabulary.is_byte(i) or vocabulary.is_control(i) or vocabulary.is_unknown(i)):
+            numbers[piece] = int(model.pieces.find(np.array([language_id._hash(piece)], np.uint64))[0])
+    return numbers
+
+
+def test_forward_sums_all_segmentations(model):
+    numbers = piece_numbers(model)
+    assert model.pieces.longest == max(map(len, filter(None, numbers)))
+    words = ["the", "thering", "schung", "x", "été", "東京", "qzqzq", "a", "internationalization"]
     found = language_id.forward(words, model.pieces, model.probabilities)
     for row, word in zip(found, words, strict=True):
         for column in range(len(model.languages)):
             assert row[column] == pytest.approx(brute_word(word, numbers, model.probabilities[:, column], model.pieces.longest))
 
 
+def sum_in_order(line, numbers, probabilities, longest):
+    """Log of the sum over all segmentations, in exact fractions of the probabilities as they are."""
+    sums = [Fraction(1)]
+    for end in range(1, len(line) + 1):
+        total = Fraction(0)
+        for size in range(1, min(longest, end) + 1):
+            number = numbers.get(line[end - size : end], numbers[None] if size == 1 else None)
+            if number is not None:
+                total += sums[end - size] * Fraction(probabilities[number])
+        sums.append(total)
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_words_of_any_length_are_summed_whole(model):
+    numbers = piece_numbers(model)
+    words = ["internationalization" * k for k in (1, 2, 3, 7)] + ["schungkeit" * 12, "東京x" * 10]
+    found = language_id.forward(words, model.pieces, model.probabilities)
+    logs = np.log(model.probabilities)
+    for row, word in zip(found, words, strict=True):
+        line = language_id.WORD_START + word
+        for column in range(len(model.languages)):
+            assert row[column] == pytest.approx(sum_in_order(line, numbers, model.probabilities[:, column], model.pieces.longest), rel=1e-9)
+        chars = np.array([[ord(c) + 1 for c in line]], np.uint64)
+        for block in (1, 7, 50, 4000):
+            assert np.allclose(language_id._log_total(chars, model.pieces, logs, block)[0], row, rtol=1e-10)
+
+
+def test_a_word_of_a_hundred_thousand_letters_has_a_finite_sum(model):
+    found = language_id.forward(["keit" * 25_000], model.pieces, model.probabilities)
+    assert np.isfinite(found).all() and model.languages[int(found[0].argmax())] == "de"
+
+
+def test_whole_texts_against_brute_force(spark, spoken, model):
+    numbers = piece_numbers(model)
+    texts = [r["text"] for r in spoken.filter(held_out()).limit(6).collect()] + ["Ding, schung; internationalizationing " + "eau" * 15, "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in language_id.identify(rows, model).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        totals = [
+            sum(sum_in_order(language_id.WORD_START + w, numbers, model.probabilities[:, c], model.pieces.longest) for w in words)
+            for c in range(len(model.languages))
+        ]
+        scaled = [(t - max(totals)) * min(1, model.settings.evidence / len(words)) for t in totals]
+        assert found[i]["lang_pred"] == model.languages[int(np.argmax(totals))]
+        assert found[i]["score"] == pytest.approx(1 / sum(map(math.exp, scaled)))
+
+
+def test_counts_of_long_words_agree_with_those_of_short_ones(model, monkeypatch):
+    words = ["thering", "schungkeit", "eauque"]
+    weights = np.arange(1.0, 1 + 3 * len(model.languages)).reshape(3, -1)
+    plain = language_id.expected_counts(words, weights, model.pieces, model.probabilities)
+    monkeypatch.setattr(language_id, "PLAIN_CHARS", 0)
+    assert np.allclose(language_id.expected_counts(words, weights, model.pieces, model.probabilities), plain)
+
+
+def test_the_sample_is_bounded_for_every_language(spark):
+    rows = [(i, f"w{'abcdefghij'[i % 10]}{'x' * (i % 50)}", "en" if i % 8 else "de") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small = language_id.LanguageSettings(docs_per_language=100)
+    counts = {r["lang"]: r["n"] for r in language_id.sample_words(docs, small).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    assert counts == {"en": 100, "de": 100}
+
+
 def test_expected_counts_add_up_to_the_characters(model):
     words = ["thering", "schung"]
     counts = language_id.expected_counts(words, np.ones((2, len(model.languages))), model.pieces, model.probabilities)
