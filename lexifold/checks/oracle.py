@@ -107,6 +107,17 @@ _STOPLIST = ", ".join(f"'{word}'" for word in STOPWORDS)
 _BOW_FEATURES = "SELECT doc_id, 'bow' AS family, token AS feature, {value} AS value FROM tf JOIN df USING (token)"
 _BROWN_FEATURES = "SELECT doc_id, 'brown' AS family, prefix AS feature, {value} AS value FROM cc"
 
+_ABBREVIATIONS = r"""raw AS (SELECT [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+') IF x <> ''] AS ts FROM documents),
+    words AS (SELECT unnest(ts) AS token FROM raw),
+    counts AS (SELECT lower(regexp_replace(token, '\.$', '')) AS word, count(*) AS n,
+        sum(CASE WHEN token LIKE '%.' THEN 1 ELSE 0 END)::BIGINT AS n_period
+        FROM words WHERE regexp_matches(token, '\p{L}') GROUP BY 1),
+    total AS (SELECT sum(n)::DOUBLE AS n, sum(n_period) / sum(n)::DOUBLE AS share FROM counts),
+    measured AS (SELECT word, counts.n, n_period, length(replace(word, '.', '')) AS letters,
+        2.0 * (n_period * ln(0.99::DOUBLE) + (counts.n - n_period) * ln(1 - 0.99::DOUBLE) - n_period * ln(share) - (counts.n - n_period) * ln(1 - share)) AS ll
+        FROM counts, total WHERE n_period > 0),
+    scores AS (SELECT word, n, n_period, ll * exp(-letters) * (length(word) - letters + 1) * pow(letters::DOUBLE, -(n - n_period)::DOUBLE) AS score FROM measured)"""
+
 ORACLE: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_clean()} AS cleaned FROM documents",
     "tokenize": f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens
@@ -124,6 +135,19 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(tokens, '') AS tokens
         FROM w LEFT JOIN j USING (doc_id)""",
     "sentence_corpus": f"WITH {_SENTENCES} SELECT doc_id, sentence_no, sentence FROM sentences",
+    "abbreviations": f"WITH {_ABBREVIATIONS} SELECT word, n, n_period, round(score, 4) AS score, score >= 0.3 AS abbreviation FROM scores",
+    "sentence_starters": rf"""WITH {_ABBREVIATIONS},
+        neighbours AS (SELECT unnest(ts) AS l, unnest(list_append(ts[2:], NULL)) AS r FROM raw),
+        ends AS (SELECT lower(regexp_replace(l, '\.$', '')) AS l, lower(regexp_replace(r, '\.$', '')) AS word FROM neighbours
+          WHERE l LIKE '%.' AND regexp_matches(l, '\p{{L}}') AND regexp_matches(r, '\p{{L}}')),
+        behind AS (SELECT word, count(*) AS n_start FROM ends WHERE l NOT IN (SELECT word FROM scores WHERE score >= 0.3) GROUP BY 1),
+        cells AS (SELECT word, c.n, n_start, n_start::DOUBLE AS a, b - n_start AS b, c.n - n_start::DOUBLE AS c, t.n - b - (c.n - n_start) AS d, t.n AS t
+          FROM behind JOIN counts c USING (word), total t, (SELECT sum(n_start)::DOUBLE AS b FROM behind)),
+        ratios AS (SELECT word, n, n_start, a / (a + b) > n / t AS more, 2.0 * (
+            a * ln(a / (a + b)) + CASE WHEN b > 0 THEN b * ln(b / (a + b)) ELSE 0 END
+            + CASE WHEN c > 0 THEN c * ln(c / (c + d)) ELSE 0 END + CASE WHEN d > 0 THEN d * ln(d / (c + d)) ELSE 0 END
+            - (a + c) * ln((a + c) / t) - (b + d) * ln((b + d) / t)) AS ratio FROM cells)
+        SELECT word, n, n_start, round(ratio, 4) AS ratio, ratio >= 30 AND more AS starter FROM ratios""",
     "paragraph_terms": f"""WITH {_TF}, j AS (SELECT doc_id, string_agg(token, ' ' ORDER BY token) AS terms
         FROM tf GROUP BY doc_id)
         SELECT doc_id, coalesce(terms, '') AS terms FROM documents LEFT JOIN j USING (doc_id)""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
 from lexifold.functions.vectors import vector_pairs
-from lexifold.operators import assemble, certificate, clusters, docvectors, machines, metrics, numbering, paragraphs, terms, weights
+from lexifold.operators import assemble, boundaries, certificate, clusters, docvectors, machines, metrics, numbering, paragraphs, terms, weights
 from lexifold.operators.svm import SvmSettings, class_sizes, fit_svm, vector_width
 from lexifold.plans import crossval, featurize, train, tuning
 from lexifold.session import materialise, scratch_path
@@ -120,6 +120,21 @@ def sentence_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return corpora.sentence_corpus(_docs(spark, sf))
 
 
+def _period_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(boundaries.period_counts(_docs(spark, sf)), "period_counts")
+
+
+def abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    found = boundaries.abbreviation_scores(_period_counts(spark, sf))
+    return found.withColumn("score", F.round("score", 4))
+
+
+def sentence_starters(spark: SparkSession, sf: str) -> DataFrame:
+    counts = _period_counts(spark, sf)
+    scores = materialise(boundaries.abbreviation_scores(counts), "abbreviations")
+    return boundaries.starter_ratios(_docs(spark, sf), counts, scores).withColumn("ratio", F.round("ratio", 4))
+
+
 def paragraph_terms(spark: SparkSession, sf: str) -> DataFrame:
     return _instances(spark, sf).select("doc_id", T.term_list(F.col("terms")).alias("terms"))
 
@@ -670,6 +685,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contraction_split,
         stopword_removal,
         sentence_corpus,
+        abbreviations,
+        sentence_starters,
         paragraph_terms,
         vocabulary,
         vocabulary_versions,
