@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
 from lexifold.operators import clusters, terms
+from lexifold.operators.lookup import BroadcastBound
 from lexifold.session import materialise
 from lexifold.sources import tables
 from tests.conftest import plan_of
@@ -46,6 +47,23 @@ def test_cluster_counts_move_only_compact_rows(spark, stage):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
+def test_cluster_counts_beyond_the_bound_move_no_prefixes(spark, stage):
+    inst = materialise(terms.instances(terms.tokenize(stage)), "inst")
+    words = materialise(terms.vocabulary(inst), "v")
+    paths = words.select(F.lit("01").alias("path"), F.col("token").alias("word"))
+    bridge = clusters.cluster_bridge(paths, words)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = clusters.cluster_counts(inst, bridge, bound=BroadcastBound(rows=1))
+        plan = plan_of(counts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line.split("hashpartitioning(", 1)[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("path" in names or "feature" in names for names in moved)
+    assert sum(name.startswith("doc_id") for name in moved) == 1
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, clusters.cluster_counts(inst, bridge).collect()))
+
+
 def test_cluster_counts_of_a_bucketed_table_move_nothing(spark, stage, tmp_path):
     inst = terms.instances(terms.tokenize(stage))
     words = materialise(terms.vocabulary(inst), "v")
