@@ -60,6 +60,44 @@ def test_counts_refuse_a_tokeniser_that_keeps_blanks(edge):
         token_counts.count_tokens(edge, public_path(FILES[1])).collect()
 
 
+@pytest.mark.parametrize("rows", [0, 1, 3, 1000])
+def test_counts_of_frequent_and_rare_words_equal_the_library(spark, rows):
+    from lexifold.operators.lookup import BroadcastBound
+
+    texts = [
+        "tree tree tree Unbelievableness", "zyzzyva zyzzyva Zyzzyva\ttree", "tree", "", None, " \n ", "tree", "tree",
+        "\x1ctree\u3000Zyzzyva don't\xa0\x0b\x0c\rtree", "qwrtzpsdfg " * 300,
+    ]
+    docs = [(None if i == 2 else i // 2, t) for i, t in enumerate(texts)] * 2
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = token_counts.count_tokens(table, public_path(FILES[0]), limit=3, bound=BroadcastBound(rows, 10_000)).collect()
+    tokens = [(str(i), len((t or "").encode()), len(ids_of(FILES[0], t))) for i, t in docs]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in found) == sorted(tokens)
+    assert all(r["over_limit"] == (r["n_tokens"] > 3) for r in found)
+
+
+@pytest.mark.parametrize("rows", [0, 1000])
+def test_counts_of_bytes_that_are_no_text(spark, rows):
+    from lexifold.operators.lookup import BroadcastBound
+
+    table = spark.sql("SELECT 1L AS doc_id, CAST(X'746572FF6D20C3E282' AS STRING) AS text")
+    found = token_counts.count_tokens(table, public_path(FILES[0]), bound=BroadcastBound(rows, 10_000)).first()
+    assert (found["n_bytes"], found["n_tokens"]) == (9, len(ids_of(FILES[0], "ter\ufffdm \ufffd\ufffd")))
+
+
+def test_counts_read_the_texts_once_to_sum_up(edge, spark, tmp_path):
+    import re
+
+    from lexifold.operators.lookup import BroadcastBound
+
+    from tests.conftest import plan_of
+
+    edge.select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plan = plan_of(token_counts.count_tokens(docs, public_path(FILES[0]), bound=BroadcastBound(50, 10_000)))
+    assert len(re.findall(r"FileScan parquet \[doc_id#\d+L?,text#\d+\]", plan)) == 1
+
+
 # ---- codes --------------------------------------------------------------------
 
 
