@@ -17,16 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from lexifold.llm.common import empty_if_null, in_pieces, materialise
+from lexifold.llm.common import empty_if_null, in_pieces, materialise, small_batches
 from lexifold.llm.tokens import Encoder
 from lexifold.operators.lookup import BroadcastBound, split_table
 
+PIECE_BYTES = 8_000_000
+
 
 def distinct_words(texts: DataFrame) -> DataFrame:
     """``(word, n)`` for every distinct pre-token of ``texts (text)``, none of which is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, 0):
+        for batch in in_pieces(batches, 0, PIECE_BYTES):
             words = pc.ascii_split_whitespace(batch.column(0)).flatten().value_counts()
             yield pa.record_batch([words.field("values"), words.field("counts")], ["word", "n"])
 
@@ -60,7 +62,7 @@ def sum_frequent(texts: DataFrame, frequent: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value.column("word").combine_chunks()
         pieces = np.append(np.asarray(shared.value.column("pieces")).astype(np.int64), 0)
-        for batch in in_pieces(batches, len(names) - 2):
+        for batch in in_pieces(batches, len(names) - 2, PIECE_BYTES):
             parts = pc.ascii_split_whitespace(batch.column(batch.num_columns - 1))
             begin = np.asarray(parts.offsets).astype(np.int64)
             begin = begin - begin[0]
@@ -95,14 +97,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, bound: Broa
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("text_hash"),
         F.make_valid_utf8(text).alias("text"),
     )
-    counted = materialise(count_pieces(distinct_words(named), tokenizer), "piece_counts")
-    frequent, rare = split_table(counted, "n", bound or BroadcastBound(400_000, 16 * 1024 * 1024))
-    found = sum_frequent(named, frequent)
-    if rare is None:
-        found = found.withColumnRenamed("tokens", "n_tokens")
-    else:
-        found = _add_rare(found, rare)
-    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    with small_batches(docs.sparkSession, 2000):
+        counted = materialise(count_pieces(distinct_words(named), tokenizer), "piece_counts")
+        frequent, rare = split_table(counted, "n", bound or BroadcastBound(400_000, 16 * 1024 * 1024))
+        found = sum_frequent(named, frequent)
+        found = found.withColumnRenamed("tokens", "n_tokens") if rare is None else _add_rare(found, rare)
+        found = materialise(found.select("doc_id", "n_bytes", "n_tokens"), "token_counts")
+    return found.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def _add_rare(found: DataFrame, rare: DataFrame) -> DataFrame:
