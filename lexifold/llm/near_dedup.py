@@ -164,13 +164,14 @@ def links(prints: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame:
     """Pairs ``(a, b)`` of different fingerprints in ``prints`` (distinct) within ``threshold`` bits, ``a < b``.
 
     No fingerprint has more than 2,080 others within two bits, so the pairs grow
-    with the fingerprints and not with the square of a group.
+    with the fingerprints and not with the square of a group. Both sides are shuffled:
+    Spark takes replicas for no larger than the table of fingerprints, and would broadcast them.
     """
     placed = replicate(prints, threshold, blocks)
     home = placed.filter("home").select("anchor", F.col("fp").alias("a"))
     other = placed.select("anchor", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return home.join(other, "anchor").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return home.join(other.hint("merge"), "anchor").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 # ---- components -------------------------------------------------------------

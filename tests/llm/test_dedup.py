@@ -180,3 +180,12 @@ def test_near_stage(edge):
     assert kept.columns == edge.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert 1 in ids and 2 not in ids and ids.count(None) == 2 and 4 not in ids
+
+
+def test_replicas_are_not_broadcast(spark):
+    from lexifold.llm.common import materialise
+    from tests.conftest import plan_of
+
+    prints = materialise(spark.range(2000).select(F.xxhash64("id").alias("fp")), "prints")
+    plan = plan_of(near_dedup.links(prints))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
