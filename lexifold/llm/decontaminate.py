@@ -38,6 +38,7 @@ class Contract:
     similarity: float = 0.8
     radius: int = 19
     broadcast_rows: int = 500_000
+    broadcast_bytes: int = 32 * 1024 * 1024
 
 
 def _words(text: str) -> Column:
@@ -112,7 +113,16 @@ def weighted_jaccard(left: Column, right: Column) -> Column:
 
 def _small(df: DataFrame, contract: Contract) -> DataFrame:
     """A written table, marked for broadcast if its row count allows it."""
-    return F.broadcast(df) if df.count() <= contract.broadcast_rows else df
+    return F.broadcast(df) if df.count() <= contract.broadcast_rows else df.hint("merge")
+
+
+def _light(df: DataFrame, row_bytes: Column, contract: Contract) -> DataFrame:
+    """A written table, marked for broadcast if its rows, as long as they are when read, allow it; files may be far smaller."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= contract.broadcast_bytes else df.hint("merge")
+
+
+def _same_text() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))
 
 
 def _items(items: DataFrame, contract: Contract) -> DataFrame:
@@ -203,43 +213,40 @@ def contaminated(docs: DataFrame, items: DataFrame, contract: Contract | None =
         ),
         "windows_per_text",
     )
-    texts = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64(empty_if_null()))
-    near = _small(per_text, contract)
-    placed = texts.join(near, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+    own = ["doc_id", "text_hash"]
+    with_windows = _small(materialise(per_text.select("w_id", "w_hash"), "texts_with_windows"), contract)
+    texts = docs.select("doc_id", "text", F.xxhash64(empty_if_null()).alias("text_hash"))
+    found = materialise(texts.join(with_windows, _same_text(), "left_semi").distinct(), "window_texts")
+    placed = found.join(per_text.hint("merge"), _same_text())
     cut = (
-        placed.select("doc_id", "text_hash", _words("text").alias("words"), "places")
-        .select("doc_id", "text_hash", "words", F.explode("places").alias("p"))
-        .select(
-            "doc_id", "text_hash", F.col("p.size").alias("size"), F.col("p.start").alias("start"), F.col("p.in_line").alias("in_line"),
-            let(
-                F.slice("words", F.col("p.start") + 1, F.col("p.size")),
-                lambda w: F.struct(F.size(w).alias("n"), _shingle_strings(w, F.col("p.k")).alias("shingles")),
-            ).alias("w"),
-        )
-        .select("doc_id", "text_hash", "size", "start", "in_line", F.col("w.n").alias("n"), F.col("w.shingles").alias("shingles"))
-    )
-    printed = materialise(cut.distinct().withColumn("fp", simhash(numbered(F.col("shingles")))), "window_prints")
+        placed.select(*own, _words("text").alias("words"), "places")
+        .select(*own, "words", F.explode("places").alias("p"))
+        .select(*own, "p.*", F.slice("words", F.col("p.start") + 1, F.col("p.size")).alias("window"))
+    )
+    fingerprint = let(_shingle_strings(F.col("window"), F.col("k")), lambda s: simhash(numbered(s)))
+    printed = materialise(cut.select(*own, "size", "k", "start", "in_line", F.size("window").alias("n"), fingerprint.alias("fp")), "window_prints")
     keys = ["size", "block", "bits"]
     blocked_items = indexed.select("item_id", "size", F.col("fp").alias("item_fp"), _block_values("fp", contract.radius).alias("x"))
     blocked_items = blocked_items.select("item_id", "size", "item_fp", "x.*")
-    blocked = printed.select(
-        "doc_id", "text_hash", "size", "start", "fp", _block_values("fp", contract.radius).alias("x")
-    ).select("doc_id", "text_hash", "size", "start", "fp", "x.*")
+    blocked = printed.select("*", _block_values("fp", contract.radius).alias("x")).select(*printed.columns, "x.*")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    window = ["size", "k", "start", "in_line", "n", "item_id", "bit_distance"]
     candidates = (
         blocked.join(_small(materialise(blocked_items, "item_blocks"), contract), keys)
         .filter(distance <= contract.radius)
-        .select("doc_id", "text_hash", "size", "start", "item_id", distance.alias("bit_distance"))
-        .distinct()
+        .select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), *window[:-1], distance.alias("bit_distance"))
+        .groupBy("w_id", "w_hash")
+        .agg(F.collect_set(F.struct(*window)).alias("candidates"))
     )
-    back = ["text_hash", "size", "start"]
-    other = printed.select(F.col("doc_id").alias("w_id"), *back, "in_line", "n", "shingles")
+    # Windows overlap, so their shingles are cut from the text again instead of being moved.
     item_shingles = indexed.select("item_id", F.col("shingles").alias("item_shingles"))
     verified = (
-        candidates.join(other, back)
-        .filter(F.col("doc_id").eqNullSafe(F.col("w_id")))
-        .join(item_shingles, "item_id")
-        .withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles")))
+        found.join(candidates.hint("merge"), _same_text())
+        .select(*own, _words("text").alias("words"), "candidates")
+        .select(*own, "words", F.explode("candidates").alias("c"))
+        .select(*own, "c.*", F.slice("words", F.col("c.start") + 1, F.col("c.size")).alias("window"))
+        .join(_light(item_shingles, F.aggregate("item_shingles", F.lit(0).cast("bigint"), lambda n, s: n + F.octet_length(s) + 16), contract), "item_id")
+        .withColumn("similarity", let(_shingle_strings(F.col("window"), F.col("k")), lambda s: weighted_jaccard(s, F.col("item_shingles"))))
         .filter(F.col("similarity") >= contract.similarity)
     )
     best = verified.groupBy("doc_id", "text_hash", "item_id").agg(

@@ -175,3 +175,21 @@ def test_simhash_and_similarity(spark):
     rows = frame.select(decontaminate.simhash(F.col("x")).alias("h"), decontaminate.weighted_jaccard(F.col("x"), F.col("y")).alias("s")).collect()
     one = spark.sql("select xxhash64('b') h").first()["h"]
     assert rows[0]["h"] == one and rows[0]["s"] == 0.5 and rows[1]["h"] == 0 and rows[1]["s"] == 0
+
+
+def test_windows_are_not_moved_with_their_shingles(spark, monkeypatch):
+    from tests.conftest import plan_of
+
+    written = {}
+    keep = decontaminate.materialise
+
+    def kept(df, name):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(decontaminate, "materialise", kept)
+    docs = spark.createDataFrame([(1, text_of(1, 40))], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(1, text_of(1, 20))], "item_id long, text string"))
+    assert "array<string>" not in {kind for name in ("window_texts", "window_prints") for _, kind in written[name].dtypes}
+    plan = plan_of(found)
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2
